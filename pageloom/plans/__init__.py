@@ -1,4 +1,4 @@
 """Every runnable query, one module per operator family."""
 
 from pageloom.plans.registry import ORACLES, QUERIES  # noqa: F401
-from pageloom.plans import filters, review  # noqa: F401
+from pageloom.plans import filters, joins, review  # noqa: F401
