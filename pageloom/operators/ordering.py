@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.core import ranking
-from pageloom.core.fold import ordered_fold
+from pageloom.core.fold import ordered_fold, ordered_groups
 from pageloom.core.intervals import merge_runs
 
 _c = F.col
@@ -100,8 +100,6 @@ def panel_reading_order(regions: DataFrame, panels: DataFrame) -> DataFrame:
     Only the boxes of panels and unplaced regions of a page meet in one group;
     texts inside a panel are ordered by the streaming fold.
     """
-    import pandas as pd
-
     from pageloom.operators.layout import panel_of_centre
     home = panel_of_centre(regions, panels)
     use = (regions.join(home, ["image_id", "region_id"], "left").groupBy("image_id").agg(
@@ -117,13 +115,10 @@ def panel_reading_order(regions: DataFrame, panels: DataFrame) -> DataFrame:
     frames = panels.join(used, ["image_id", "region_id"]).select(
         "image_id", F.lit(0).alias("kind"), "seq", F.concat(F.lit("p"), "region_id").alias("grp"), "x", "y", "w", "h").union(lone)
 
-    def arrange(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["kind", "seq"])
-        boxes = list(zip(pdf.x, pdf.y, pdf.w, pdf.h))
-        order = _cut_order(boxes, list(range(len(boxes))))
-        return pd.DataFrame({"image_id": pdf.image_id.iloc[order].values, "grp": pdf.grp.iloc[order].values,
-                             "grp_rank": range(1, len(order) + 1)})
-    ranks = frames.groupBy("image_id").applyInPandas(arrange, "image_id bigint, grp string, grp_rank bigint")
+    def arrange(key, held):
+        boxes = [row[3:7] for row in held]
+        return [(*key, held[i][2], n) for n, i in enumerate(_cut_order(boxes, list(range(len(boxes)))), 1)]
+    ranks = ordered_groups(frames, ["image_id"], ["kind", "seq"], arrange, "image_id bigint, grp string, grp_rank bigint")
     inner = reading_order(placed, ["image_id", "grp"])
     both = inner.join(ranks, ["image_id", "grp"], "left").withColumn("grp_rank", F.coalesce("grp_rank", F.lit(1)))
     out = ranking.ranked(both, ["image_id"], [_c("grp_rank"), _c("position")],
@@ -276,11 +271,10 @@ def merge_tiny_bands(bands: DataFrame, typical: DataFrame) -> DataFrame:
 
     A mask has at most one band per two scan lines, so its bands fit one group.
     """
-    import pandas as pd
+    rows = bands.join(typical, "mask_id").select("mask_id", "x0", "x1", "height")
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        runs = sorted(zip(pdf.x0.tolist(), pdf.x1.tolist()))
-        limit = pdf.height.iloc[0] * 0.45
+    def merge(key, held):
+        runs, limit = [(a, b) for a, b, _ in held], held[0][2] * 0.45
         while len(runs) > 1:
             thin = [i for i, (a, b) in enumerate(runs) if b - a < limit]
             if not thin:
@@ -290,8 +284,8 @@ def merge_tiny_bands(bands: DataFrame, typical: DataFrame) -> DataFrame:
             below = runs[at + 1][0] - runs[at][1] if at + 1 < len(runs) else None
             low = at - 1 if below is None or (above is not None and above <= below) else at
             runs[low:low + 2] = [(runs[low][0], runs[low + 1][1])]
-        return pd.DataFrame({"mask_id": pdf.mask_id.iloc[0], "x0": [a for a, _ in runs], "x1": [b for _, b in runs]})
-    return bands.join(typical, "mask_id").groupBy("mask_id").applyInPandas(merge, "mask_id bigint, x0 bigint, x1 bigint")
+        return [(*key, a, b) for a, b in runs]
+    return ordered_groups(rows, ["mask_id"], ["x0"], merge, "mask_id bigint, x0 bigint, x1 bigint")
 
 
 def pack_requests(items: DataFrame, max_items: int = 32, max_chars: int = 8000) -> DataFrame:

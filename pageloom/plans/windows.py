@@ -163,7 +163,7 @@ def _profile(t):
   select * from pt where mask_id not in (select mask_id from pt where ink < 36)""")
 def _w12(t):
     p = _profile(t)
-    return O.split_gutters(p, p.select("mask_id", F.lit(3.0).alias("height")).distinct())
+    return O.split_gutters(p, t.image_pages.select(_c("image_id").alias("mask_id"), F.lit(3.0).alias("height")))
 
 
 @query("w13_merge_tiny_bands")
