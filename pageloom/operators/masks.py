@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,22 +27,31 @@ def boxes_to_runs(boxes: DataFrame, mask_id: str = "region_id", scale: int = 1)
         low(_c("x")).alias("x0"), F.greatest(low(_c("x")) + 1, low(_c("x") + _c("w"))).alias("x1"))
 
 
-def rasterise(polygons: DataFrame) -> DataFrame:
-    """Even-odd fill sampled at pixel centres of (image_id, mask_id, polygon)."""
-    ring = _c("polygon")
-    edge = (polygons.select(*MASK, F.posexplode(F.arrays_zip(
+def rasterise(polygons: DataFrame, closed: bool = False, keys: Sequence[str] = tuple(MASK)) -> DataFrame:
+    """Even-odd fill sampled at pixel centres of (keys..., polygon).
+
+    ``closed`` also takes pixels whose centre lies on the outline (slack 1e-6).
+    """
+    line, ring = [*keys, "y"], _c("polygon")
+    edge = (polygons.select(*keys, F.posexplode(F.arrays_zip(
         ring.alias("a"), F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1)).alias("b"))).alias("side", "e"))
-        .select(*MASK, "side", _c("e.a.x").alias("ax"), _c("e.a.y").alias("ay"), _c("e.b.x").alias("bx"), _c("e.b.y").alias("by"))
-        .where("ay <> by"))
+        .select(*keys, "side", _c("e.a.x").alias("ax"), _c("e.a.y").alias("ay"), _c("e.b.x").alias("bx"), _c("e.b.y").alias("by")))
     top, bottom = F.least("ay", "by"), F.greatest("ay", "by")
     first, last = F.ceil(top - 0.5), F.ceil(bottom - 0.5) - 1
-    crossing = (edge.where(first <= last).withColumn("y", F.explode(F.sequence(first, last)))
+    crossing = (edge.where("ay <> by").where(first <= last).withColumn("y", F.explode(F.sequence(first, last)))
                 .withColumn("at", _c("ax") + (_c("y") + 0.5 - _c("ay")) * (_c("bx") - _c("ax")) / (_c("by") - _c("ay"))))
-    along = Window.partitionBy(*LINE).orderBy("at", "side")
-    pairs = (crossing.withColumn("_n", F.row_number().over(along)).withColumn("_next", F.lead("at").over(along))
-             .where("_n % 2 = 1 and _next is not null")
-             .select(*LINE, F.ceil(_c("at") - 0.5).alias("x0"), F.ceil(_c("_next") - 0.5).alias("x1")))
-    return merge_runs(pairs, LINE)
+    along = Window.partitionBy(*line).orderBy("at", "side")
+    slack = 1e-6 if closed else 0.0
+    stop = F.floor(_c("_next") - 0.5 + slack) + 1 if closed else F.ceil(_c("_next") - 0.5)
+    runs = (crossing.withColumn("_n", F.row_number().over(along)).withColumn("_next", F.lead("at").over(along))
+            .where("_n % 2 = 1 and _next is not null").select(*line, F.ceil(_c("at") - 0.5 - slack).alias("x0"), stop.alias("x1")))
+    if closed:
+        row = F.round(_c("ay") - 0.5).cast("bigint")
+        flat = edge.where((F.abs(_c("ay") - _c("by")) <= slack) & (F.abs(_c("ay") - 0.5 - row) <= slack)).select(
+            *keys, row.alias("y"), F.ceil(F.least("ax", "bx") - 0.5 - slack).alias("x0"),
+            (F.floor(F.greatest("ax", "bx") - 0.5 + slack) + 1).alias("x1"))
+        runs = runs.unionByName(flat)
+    return merge_runs(runs, line)
 
 
 def window(runs: DataFrame, boxes: DataFrame) -> DataFrame:

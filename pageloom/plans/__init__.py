@@ -1,4 +1,4 @@
 """Every runnable query, one module per operator family."""
 
 from pageloom.plans.registry import ORACLES, QUERIES  # noqa: F401
-from pageloom.plans import aggregates, filters, joins, review, windows, workflow  # noqa: F401
+from pageloom.plans import aggregates, filters, joins, masks, review, windows, workflow  # noqa: F401
