@@ -74,15 +74,43 @@ def frame_outside_page() -> Column:
     return c("visible") & (F.trim(c("translated_text")) != "") & off
 
 
+PAGE_RULES = {"image_boundary_collision", "inpainting_missing", "residual_text", "residual_outside_mask",
+              "repair_verification_uncertain", "repair_verification_unavailable", "translation_boundary_collision"}
+PASS_SIZE = 6
+
+
+def region_findings(regions: DataFrame, pages: DataFrame, threshold: float = OCR_THRESHOLD,
+                    only: str | None = None) -> DataFrame:
+    """(image_id, region_id, code, severity) for every rule that fires.
+
+    Rules run in passes of six: one generated method holding all of them is
+    past the size the JIT compiles and runs many times slower.  Each pass reads
+    only its rules' columns, and only the rules about the page join it.
+    """
+    rules = [r for r in region_rules(threshold) if only in (None, r[0])]
+    plain = [r for r in rules if r[0] not in PAGE_RULES]
+    paged = [r for r in rules if r[0] in PAGE_RULES]
+    joined = regions.join(pages.select("image_id", "width", "height", "clean_path"), "image_id")
+    passes = [(df, group[i:i + PASS_SIZE]) for df, group in ((regions, plain), (joined, paged))
+              for i in range(0, len(group), PASS_SIZE)]
+    out = None
+    for df, group in passes:
+        found = F.array(*[F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity")))
+                          for code, sev, cond in group])
+        # explode_outer: the plain form would evaluate every rule again as a filter.
+        part = (df.select("image_id", "region_id", F.explode_outer(found).alias("_i")).where("_i is not null")
+                .select("image_id", "region_id", "_i.code", "_i.severity"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def with_project(findings: DataFrame, pages: DataFrame) -> DataFrame:
+    return findings.join(pages.select("image_id", "project_id"), "image_id").select(*ISSUE_COLUMNS)
+
+
 def region_issues(regions: DataFrame, pages: DataFrame, threshold: float = OCR_THRESHOLD,
                   only: str | None = None) -> DataFrame:
-    """One pass over the regions: every rule that fires, as a row."""
-    page = pages.select("image_id", "project_id", "width", "height", "clean_path")
-    found = [F.when(cond, F.struct(F.lit(code).alias("code"), F.lit(sev).alias("severity")))
-             for code, sev, cond in region_rules(threshold) if only in (None, code)]
-    return (regions.join(page, "image_id")
-            .select("project_id", "image_id", "region_id", F.explode(F.array_compact(F.array(*found))).alias("_i"))
-            .select("project_id", "image_id", "region_id", "_i.code", "_i.severity"))
+    return with_project(region_findings(regions, pages, threshold, only), pages)
 
 
 def overlap_pairs(regions: DataFrame, share: float = 0.12) -> DataFrame:
@@ -96,24 +124,24 @@ def overlap_pairs(regions: DataFrame, share: float = 0.12) -> DataFrame:
                     "inter", "ratio"))
 
 
-def overlap_issues(regions: DataFrame, pages: DataFrame) -> DataFrame:
-    page = pages.select("image_id", "project_id")
-    return overlap_pairs(regions).join(page, "image_id").select(
-        "project_id", "image_id", F.col("first_id").alias("region_id"),
-        F.lit("region_overlap").alias("code"), F.lit("warning").alias("severity"))
+def overlap_findings(regions: DataFrame) -> DataFrame:
+    return overlap_pairs(regions).select("image_id", F.col("first_id").alias("region_id"),
+                                         F.lit("region_overlap").alias("code"), F.lit("warning").alias("severity"))
+
+
+def task_findings(tasks: DataFrame) -> DataFrame:
+    return tasks.where("status = 'FAILED'").select(
+        "image_id", F.lit(None).cast("bigint").alias("region_id"), F.lit("task_failed").alias("code"),
+        F.lit("error").alias("severity"))
 
 
-def task_issues(tasks: DataFrame, pages: DataFrame) -> DataFrame:
-    page = pages.select("image_id", "project_id")
-    return tasks.where("status = 'FAILED'").join(page, "image_id").select(
-        "project_id", "image_id", F.lit(None).cast("bigint").alias("region_id"),
-        F.lit("task_failed").alias("code"), F.lit("error").alias("severity"))
+def all_findings(regions: DataFrame, pages: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Region, pair and task findings together, without their project."""
+    return (region_findings(regions, pages).unionByName(overlap_findings(regions)).unionByName(task_findings(tasks)))
 
 
 def all_issues(regions: DataFrame, pages: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Region, pair and task findings together."""
-    return (region_issues(regions, pages).unionByName(overlap_issues(regions, pages))
-            .unionByName(task_issues(tasks, pages)))
+    return with_project(all_findings(regions, pages, tasks), pages)
 
 
 def review_rollup(regions: DataFrame, issues: DataFrame) -> DataFrame:

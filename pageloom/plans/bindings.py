@@ -16,12 +16,6 @@ from pyspark.sql import DataFrame, SparkSession
 Expr = str | tuple[str, str]
 
 
-def _id60(text: str) -> Expr:
-    """A content id: the first 60 bits of an md5, as a bigint."""
-    return (f"cast(conv(substr(md5({text}), 1, 15), 16, 10) as bigint)",
-            f"cast('0x' || substr(md5({text}), 1, 15) as bigint)")
-
-
 def _us(column: str) -> Expr:
     return (f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({column} as timestamp_ntz))",
             f"epoch_us({column})")
@@ -32,15 +26,22 @@ def _num(kind: str) -> Expr:
             f"cast(json_extract_string(props, '$.{kind}') as bigint)")
 
 
-_CENTS = "cast(round(l_extendedprice * 100) as bigint)"
-_TAX = "cast(round(l_tax * 100) as bigint)"
+_CENTS = "cast(floor(l_extendedprice * 100 + 0.5) as bigint)"
+_TAX = "cast(floor(l_tax * 100 + 0.5) as bigint)"
 _W = "(40 + 3 * cast(l_quantity as bigint))"
 _H = "(30 + l_partkey % 90)"
-_ROW = ("concat(l_orderkey, '|', l_partkey, '|', l_suppkey, '|', l_linenumber, '|', cast(l_quantity as bigint), '|', "
-        f"{_CENTS}, '|', cast(round(l_discount * 100) as bigint), '|', {_TAX}, '|', l_returnflag, l_linestatus, '|', "
-        "{day})")
-_REGION_ID = (_id60(_ROW.format(day="cast(cast(l_shipdate as date) as string)"))[0],
-              _id60(_ROW.format(day="cast(cast(l_shipdate as date) as varchar)"))[1])
+_PARTS = ("l_partkey", "l_suppkey", "l_linenumber", "cast(l_quantity as bigint)", _CENTS, "cast(floor(l_discount * 100 + 0.5) as bigint)", _TAX,
+          "(ascii(l_returnflag) * 256 + ascii(l_linestatus))", "(year(l_shipdate) * 372 + month(l_shipdate) * 31 + day(l_shipdate))")
+
+
+def _lane(weights: tuple[int, ...]) -> str:
+    """A 31-bit hash of the row: integer arithmetic only, so it stays in generated code."""
+    return "((" + " + ".join(f"{p} * cast({w} as bigint)" for p, w in zip(_PARTS, weights)) + ") % 2147483647)"
+
+
+# A region is identified by its content within its page.
+_REGION_ID = (f"{_lane((7919, 104729, 1299709, 15485863, 32452843, 49979687, 67867967, 86028121, 982451653))} * 2147483648 + "
+              f"{_lane((15487469, 32452867, 49979693, 67867979, 7927, 86028157, 982451707, 104743, 1299721))}")
 
 _BOX = {
     "image_id": "l_orderkey",
@@ -77,7 +78,7 @@ LOGICAL: dict[str, tuple[str, dict[str, Expr], str | None]] = {
         "reading_order": "cast(l_linenumber as bigint)",
         "w": _W, "h": _H,
         "label": "case l_linenumber when 1 then 'panel' when 2 then 'bubble' when 3 then 'onomatopoeia' else 'text' end",
-        "confidence": "round(l_discount * 10, 2)",
+        "confidence": "cast(floor(l_discount * 100 + 0.5) as double) / cast(10 as double)",
         "locked": "l_returnflag = 'R'",
         "vertical": "l_linestatus = 'F'",
         "orientation": "case when l_linestatus = 'F' then 'vertical' else 'horizontal' end",
@@ -115,7 +116,7 @@ LOGICAL: dict[str, tuple[str, dict[str, Expr], str | None]] = {
     "panels": ("lineitem", {**_BOX, "w": f"4 * {_W}", "h": f"4 * {_H}", "label": "'panel'"}, "l_linenumber = 1"),
     "bubbles": ("lineitem", {**_BOX, "w": f"2 * {_W}", "h": f"2 * {_H}", "label": "'bubble'"}, "l_linenumber = 2"),
     "lettering": ("lineitem", {**_BOX, "w": _W, "h": _H, "label": "'text'",
-                               "confidence": "round(l_discount * 10, 2)"}, "l_linenumber > 2"),
+                               "confidence": "cast(floor(l_discount * 100 + 0.5) as double) / cast(10 as double)"}, "l_linenumber > 2"),
     "processing_tasks": ("orders", {
         "task_id": "o_orderkey",
         "batch_id": "o_custkey",
@@ -135,7 +136,7 @@ LOGICAL: dict[str, tuple[str, dict[str, Expr], str | None]] = {
         "user_id": "user_id",
         "event_type": "event_type",
         "seconds": "value",
-        "centis": "cast(round(value * 100) as bigint)",
+        "centis": "cast(floor(value * 100 + 0.5) as bigint)",
         "k": _num("k"),
         "props": "props",
     }, None),

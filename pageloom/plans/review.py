@@ -77,12 +77,12 @@ for _rule, _code, _, _cond in RULES:
 
 @query("r23_region_overlap", _OVERLAP_SQL)
 def _r23(t):
-    return Q.overlap_issues(t.text_regions, t.image_pages)
+    return Q.with_project(Q.overlap_findings(t.text_regions), t.image_pages)
 
 
 @query("r26_task_failed", _TASK_SQL)
 def _r26(t):
-    return Q.task_issues(t.processing_tasks, t.image_pages)
+    return Q.with_project(Q.task_findings(t.processing_tasks), t.image_pages)
 
 
 @query("j03_overlap_join", f"""select image_id, first_id, second_id, inter, round(inter * 1.0 / smaller, 6) as ratio
@@ -91,13 +91,13 @@ def _j03(t):
     return Q.overlap_pairs(t.text_regions).withColumn("ratio", F.round("ratio", 6))
 
 
-def _issues(t):
-    return Q.all_issues(t.text_regions, t.image_pages, t.processing_tasks)
+def _findings(t):
+    return Q.all_findings(t.text_regions, t.image_pages, t.processing_tasks)
 
 
 @query("x04_all_issues", ALL_SQL)
 def _x04(t):
-    return _issues(t)
+    return Q.with_project(_findings(t), t.image_pages)
 
 
 @query("a07_region_review_rollup", f"""
@@ -107,7 +107,7 @@ def _x04(t):
   select r.image_id, r.region_id, coalesce(reasons, '') as reasons, reasons is not null as needs_review
   from text_regions r left join codes c on r.image_id = c.image_id and r.region_id = c.region_id""")
 def _a07(t):
-    return Q.review_rollup(t.text_regions, _issues(t)).select(
+    return Q.review_rollup(t.text_regions, _findings(t)).select(
         "image_id", "region_id", F.array_join("review_reasons", ",").alias("reasons"), "needs_review")
 
 
@@ -119,4 +119,4 @@ def _a07(t):
     coalesce(codes, 0) as codes, case when coalesce(issues, 0) > 0 then 'NEEDS_REVIEW' else 'COMPLETED' end as outcome
   from image_pages p left join n on p.image_id = n.image_id""")
 def _a08(t):
-    return Q.page_outcome(t.image_pages, _issues(t))
+    return Q.page_outcome(t.image_pages, _findings(t))
