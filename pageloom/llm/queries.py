@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import simhash
+from pageloom.llm import lines, simhash
 from pageloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
+@query("op2_line_dedup", lines.ORACLE)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    kept = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"),
+                       F.col("n_dropped").cast("long").alias("n_dropped"),
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query("op3_simhash")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, folder, "documents"))
