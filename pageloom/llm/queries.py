@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import decontam, lines, simhash
+from pageloom.llm import bpe, decontam, language, lines, simhash
 from pageloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -30,3 +31,23 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                         (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op6_language")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = language.fold(F.col("doc_id"), 3) == 1
+    model = language.learn(docs.where(~held_out))
+    found = language.identify(docs.select("doc_id", "text"), model, spans=False)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op8_bpe")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    both = coded.select("doc_id", "ids", bpe.decode(spark, "ids", ranks).alias("decoded"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
