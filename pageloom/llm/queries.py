@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, decontam, language, lines, simhash
+from pageloom.llm import bpe, decontam, language, lines, quality, sharding, simhash
 from pageloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -42,6 +42,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query("op7_sharding")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, folder, "documents").select("doc_id", "text"), 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query("op8_bpe")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -51,3 +58,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = table(spark, folder, "labels").where("quality = 1")
+    return quality.judge(table(spark, folder, "documents"), trusted)
