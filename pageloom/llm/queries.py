@@ -6,10 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, decontam, language, lines, quality, sharding, simhash
+from pageloom.llm import bpe, chat, decontam, language, lines, quality, sharding, simhash
 from pageloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
+@query("op1_chat", chat.ORACLE)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    views = chat.rotate(table(spark, folder, "conversations"))
+    ranges = F.transform("mask", lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string")))
+    masked = F.aggregate("mask", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return views.select("conv_id", "perspective", "part", "n_turns", F.char_length("text").cast("long").alias("n_chars"),
+                        masked.alias("n_masked"), F.array_join(ranges, ",").alias("mask"),
+                        F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("op2_line_dedup", lines.ORACLE)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     kept = lines.dedup_lines(table(spark, folder, "documents").select("doc_id", "text"))
