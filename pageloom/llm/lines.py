@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.core.shared import written
+
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,12 +59,13 @@ def keep_runs(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars
     ranged = keyed.repartitionByRange("h1", "h2", "salt")
     order = Window.partitionBy("h1", "h2", "salt").orderBy(F.col("id").desc_nulls_last(), "pos")
     known = F.row_number().over(order)
-    streamed = (ranged.withColumn("_n", known).withColumn("_before", F.lag("id").over(order))
-                .select("id", "version", "pos", "h1", "h2",
-                        ((F.col("_n") == 1) | ~F.col("id").eqNullSafe(F.col("_before"))).alias("first")))
-    common = (streamed.groupBy("h1", "h2")
-              .agg(F.count_if("first").alias("n_docs"), F.max("id").alias("keeper"))
-              .where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"))
+    streamed = written(ranged.withColumn("_n", known).withColumn("_before", F.lag("id").over(order))
+                       .select("id", "version", "pos", "h1", "h2",
+                               ((F.col("_n") == 1) | ~F.col("id").eqNullSafe(F.col("_before"))).alias("first")), "lines")
+    # a table of its own, so that its join with a very common line's rows can be split
+    common = written(streamed.groupBy("h1", "h2")
+                     .agg(F.count_if("first").alias("n_docs"), F.max("id").alias("keeper"))
+                     .where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "common")
     lost = (streamed.join(common, ["h1", "h2"])
             .where(F.col("id").isNull() | (F.col("id") < F.col("keeper")))
             .select("id", "version", "pos").groupBy("id", "version")
