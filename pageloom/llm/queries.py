@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, chat, decontam, language, lines, quality, sharding, simhash
+from pageloom.llm import bpe, chat, decontam, language, lines, quality, sharding, simhash, toxicity
 from pageloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -43,6 +43,16 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = language.fold(F.col("doc_id"), 5) == 0
+    labels = table(spark, folder, "labels").where(~held_out)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    chain = toxicity.learn(docs, labels)
+    judged = toxicity.score(docs, chain, spans=False)
+    return judged.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op6_language")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
