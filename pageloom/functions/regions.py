@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import geometry as G
+from pageloom.functions import text as X
 
 _c = F.col
 
@@ -106,10 +107,10 @@ def region_update(rows: DataFrame) -> DataFrame:
         c("p_box")["x"], c("p_box")["y"], c("p_box")["w"], c("p_box")["h"])), "polygon")
     moved = (c("p_box").isNotNull() | c("p_polygon").isNotNull()) & (~box.eqNullSafe(c("box")) | ~polygon.eqNullSafe(c("polygon")))
     said = c("p_source_text").isNotNull()
-    stale = F.when(said, F.trim("p_source_text") == "").when(moved, True).otherwise(c("ocr_geometry_stale"))
+    stale = F.when(said, X.strip(c("p_source_text")) == "").when(moved, True).otherwise(c("ocr_geometry_stale"))
     target = F.coalesce("p_translated_text", "translated_text")
     old_text = (F.when(c("p_translated_text").isNotNull(), False)
-                .when(said & (c("p_source_text") != c("source_text")), F.trim(target) != "").otherwise(c("translation_stale")))
+                .when(said & (c("p_source_text") != c("source_text")), X.strip(target) != "").otherwise(c("translation_stale")))
     aimed = c("p_translated_box").isNotNull() | c("p_rotation").isNotNull()
     clear = lambda n: F.when(moved, F.lit(None)).otherwise(c(n)).alias(n)
     keep = [n for n in ("image_id", "region_id") if n in rows.columns]

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import udtf
 
-from pageloom.functions.text import _cut_chunks
+from pageloom.core.canon import canonical
+from pageloom.functions.text import chunk_pattern
 from pageloom.sources.archives import member_rows
 
 # Result columns each kind of scorer must return beside its keys.
@@ -47,7 +49,8 @@ def passthrough(df: DataFrame, text: str) -> DataFrame:
 @udtf(returnType="chunk: int, chunk_text: string")
 class TextChunks:
     def eval(self, text: str, limit: int):
-        yield from enumerate(_cut_chunks(text, limit))
+        for number, piece in enumerate(regex.findall(chunk_pattern(limit).replace(r"\z", r"\Z"), text or "")):
+            yield number, piece
 
 
 @udtf(returnType="archive: string, member: string, bytes: bigint, is_dir: boolean, is_link: boolean, encrypted: boolean")
@@ -91,19 +94,23 @@ def runs_area(x0: pd.Series, x1: pd.Series) -> int:
 
 
 def cache_key(df: DataFrame, config: str, inputs: Sequence[str]) -> DataFrame:
-    return df.withColumn("cache_key", F.sha2(F.concat_ws("\x1f", F.lit(config), *[F.col(c).cast("string") for c in inputs]), 256))
+    """Key of configuration and inputs; nulls and empty texts differ, as do values in other columns."""
+    return df.withColumn("cache_key", F.sha2(F.concat(F.lit(config), F.lit("\x1f"), canonical(inputs)), 256))
 
 
 def cached_score(df: DataFrame, cache: DataFrame, config: str, inputs: Sequence[str], score: Callable[[DataFrame], DataFrame],
                  result: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows answered from the cache, freshly scored rows, corrupt cache entries).
 
-    A key with several different saved results is corrupt and is never used.
+    A key with several different saved results, or a null one, is corrupt: it is
+    never used, and its rows are scored anew.  Every row is in one of the first two.
     """
     keyed = cache_key(df, config, inputs)
-    saved = cache.groupBy("cache_key").agg(F.min(result).alias(result), F.max(result).alias("_high"))
-    sound = saved.where(F.col(result) == F.col("_high")).drop("_high")
-    corrupt = saved.where(F.col(result) != F.col("_high")).select("cache_key")
+    saved = cache.groupBy("cache_key").agg(
+        F.min(result).alias(result), F.max(result).alias("_high"), F.count_if(F.col(result).isNull()).alias("_null"))
+    is_sound = (F.col("_null") == 0) & (F.col(result) == F.col("_high"))
+    sound = saved.where(is_sound).drop("_high", "_null")
+    corrupt = saved.where(~F.coalesce(is_sound, F.lit(False))).select("cache_key")
     hits = keyed.join(sound, "cache_key")
-    misses = keyed.join(saved.select("cache_key"), "cache_key", "left_anti")
+    misses = keyed.join(sound.select("cache_key"), "cache_key", "left_anti")
     return hits, score(misses), corrupt

@@ -1,91 +1,117 @@
-"""Text angle of a point cloud by projection profiles."""
+"""Text angle of a point cloud by projection profiles, as joins and aggregates.
+
+Every point votes in a soft histogram across the lines for each candidate
+angle and writing direction; a sharp profile has a large sum of squares.
+Histograms add up, so all points of a mask count and none is gathered: a
+mask's bins are bounded by its image, not by its points.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.core.fold import ordered_groups
-
 _c = F.col
-COARSE = np.arange(-45.0, 46.0, 3.0)  # fixed values
-SAMPLE = 8192  # the measure is defined on at most about this many points per mask
-
-
-def _axes(x: np.ndarray, y: np.ndarray, vertical: bool, angle: float) -> tuple[np.ndarray, np.ndarray]:
-    """(across the lines, along the lines) for a writing direction and angle in degrees."""
-    c, s = np.cos(np.radians(angle)), np.sin(np.radians(angle))
-    a, b = x * c + y * s, y * c - x * s
-    return (a, b) if vertical else (b, a)
-
-
-def _score(t: np.ndarray) -> float:
-    """Sum of squared soft-histogram bins per point."""
-    low = np.floor(t)
-    at, part = (low - low.min()).astype(int), t - low
-    size = at.max() + 2
-    bins = np.bincount(at, 1 - part, size) + np.bincount(at + 1, part, size)
-    return float(bins @ bins) / len(t)
-
-
-def _search(x: np.ndarray, y: np.ndarray, vertical: bool, angles) -> dict[float, float]:
-    return {float(a): _score(_axes(x, y, vertical, a)[0]) for a in angles}
-
-
-def _top(scores: dict[float, float]) -> tuple[float, float]:
-    angle = max(scores, key=lambda a: (scores[a], -abs(a)))
-    return angle, scores[angle]
-
-
-def _agreeing(x: np.ndarray, y: np.ndarray, vertical: bool, angle: float) -> bool:
-    """Do at least two thirds of the text, cut along its lines, support the angle by themselves?"""
-    along = _axes(x, y, vertical, angle)[1]
-    third = np.minimum(((along - along.min()) * 3 / (along.max() + 1 - along.min())).astype(int), 2)
-    better = agree = 0
-    for k in range(3):
-        px, py = x[third == k], y[third == k]
-        if len(px) < 12:
-            continue
-        own = _search(px, py, vertical, {*COARSE, angle - 1, angle, angle + 1, 0.0})
-        gain = own[angle] / own[0.0]
-        if gain < 0.90 and len(px) >= 0.2 * len(x):
-            return False
-        nearest, peak = _top(own)
-        better += gain >= 1.03
-        agree += gain >= 1.03 and (abs(nearest - angle) <= 3 or own[angle] >= 0.97 * peak)
-    return better >= 2 and agree >= 2
-
-
-def measure(x: np.ndarray, y: np.ndarray) -> tuple[bool, bool, float, float, float]:
-    """(vertical, direction is certain, best candidate, its score, accepted angle)."""
-    both = []
-    for vertical in (False, True):
-        scores = _search(x, y, vertical, COARSE)
-        for peak in sorted(scores, key=lambda a: (scores[a], a))[-3:]:
-            fine = [a for a in np.arange(max(-45.0, peak - 3), min(45.0, peak + 3) + 0.1, 0.5) if float(a) not in scores]
-            scores.update(_search(x, y, vertical, fine))
-        both.append(scores)
-    tops = [_top(s) for s in both]
-    vertical = tops[1][1] > tops[0][1]
-    sure = abs(tops[0][1] - tops[1][1]) > 0.05 * max(tops[0][1], tops[1][1])
-    scores, (angle, best) = both[vertical], tops[vertical]
-    clear = not any(s >= 0.98 * best and abs(a - angle) >= 5 for a, s in scores.items())
-    good = (abs(angle) >= 3 and len(x) >= 24 and best >= 1.10 * scores[0.0] and clear and (sure or abs(angle) < 43)
-            and _agreeing(x, y, vertical, angle))
-    return bool(vertical), bool(sure), angle, round(best, 6), angle if good else 0.0
+# Candidate angles in degrees and the thresholds of acceptance.
+COARSE, LIMIT, FINE_REACH, FINE_STEP = 3.0, 45.0, 3.0, 0.5
+MIN_POINTS, MIN_TURN, MIN_GAIN, RIVAL, RIVAL_APART, UNSURE = 24, 3.0, 1.10, 0.98, 5.0, 0.05
+SECTIONS, SECTION_POINTS, SECTION_LOSS, SECTION_WEIGHT, SECTION_GAIN, SECTION_NEAR = 3, 12, 0.90, 0.2, 1.03, 0.97
+
+
+def _grid(low: float, high: float, step: float) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(round((high - low) / step))), lambda i: i * step + low)
+
+
+def _across(vertical: Column, angle: Column) -> Column:
+    turn = F.radians(angle)
+    return F.when(vertical, _c("px") * F.cos(turn) + _c("py") * F.sin(turn)).otherwise(_c("py") * F.cos(turn) - _c("px") * F.sin(turn))
+
+
+def _along(vertical: Column, angle: Column) -> Column:
+    return _across(~vertical, angle)
+
+
+def projection_scores(points: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, vertical, angle, n, score) for points that carry the array ``asked`` of (vertical, angle).
+
+    Score: sum of squared soft-histogram bins per point.
+    """
+    voted = points.select(*keys, "px", "py", F.explode("asked").alias("_a")).select(
+        *keys, _c("_a.vertical").alias("vertical"), _c("_a.angle").alias("angle"), _across(_c("_a.vertical"), _c("_a.angle")).alias("_t"))
+    low, part = F.floor("_t"), _c("_t") - F.floor("_t")
+    votes = F.array(F.struct(low.alias("bin"), (1 - part).alias("w"), F.lit(1).alias("n")),
+                    F.struct((low + 1).alias("bin"), part.alias("w"), F.lit(0).alias("n")))
+    group = [*keys, "vertical", "angle"]
+    bins = voted.select(*group, F.explode(votes).alias("_v")).groupBy(*group, "_v.bin").agg(
+        F.sum("_v.w").alias("_w"), F.sum("_v.n").alias("_n"))
+    return bins.groupBy(*group).agg(F.sum("_n").alias("n"), F.sum(_c("_w") * _c("_w")).alias("_s")).select(
+        *group, "n", F.round(_c("_s") / _c("n"), 9).alias("score"))
+
+
+def _asked(angles: Column, *directions: Column) -> Column:
+    """All pairs of direction and angle."""
+    return F.flatten(F.transform(F.array(*directions), lambda v: F.transform(angles, lambda a: F.struct(v.alias("vertical"), a.alias("angle")))))
+
+
+def _best(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """The highest score of each group, ties to the smaller turn, then to the smaller angle."""
+    order = F.struct("score", -F.abs("angle"), -_c("angle"))
+    return scores.groupBy(*keys).agg(F.max_by(F.struct("angle", "score", "n"), order).alias("top"))
+
+
+def _candidates(points: DataFrame, key: str) -> DataFrame:
+    """Scores of the coarse angles, and of finer ones around the three best of each direction."""
+    both = (F.lit(False), F.lit(True))
+    coarse = projection_scores(points.withColumn("asked", _asked(_grid(-LIMIT, LIMIT, COARSE), *both)), [key])
+    peaks = coarse.groupBy(key, "vertical").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("score", "angle")), asc=False), 1, 3).alias("_p"))
+    around = F.flatten(F.transform("_p", lambda p: F.transform(
+        _grid(-FINE_REACH, FINE_REACH, FINE_STEP), lambda d: F.struct(_c("vertical").alias("vertical"), (p["angle"] + d).alias("angle")))))
+    wanted = F.filter(F.array_distinct(around), lambda a: (F.abs(a["angle"]) <= LIMIT) & (a["angle"] % COARSE != 0))
+    asked = peaks.select(key, wanted.alias("_w")).groupBy(key).agg(F.flatten(F.collect_list("_w")).alias("asked"))
+    return coarse.unionByName(projection_scores(points.join(asked, key), [key]))
+
+
+def _supported(points: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """(key, supported): do at least two of three sections along the lines favour the angle by themselves?"""
+    held = points.join(chosen.select(key, "vertical", "angle"), key).withColumn("_u", _along(_c("vertical"), _c("angle")))
+    reach = held.groupBy(key).agg(F.min("_u").alias("_from"), (F.max("_u") + 1 - F.min("_u")).alias("_long"))
+    place = F.least(F.floor((_c("_u") - _c("_from")) * SECTIONS / _c("_long")), F.lit(SECTIONS - 1))
+    near = F.array(_c("angle") - 1, _c("angle"), _c("angle") + 1, F.lit(0.0))
+    asked = _asked(F.array_distinct(F.concat(_grid(-LIMIT, LIMIT, COARSE), near)), _c("vertical"))
+    scores = projection_scores(held.join(reach, key).withColumn("section", place).withColumn("asked", asked), [key, "section"])
+    facts = scores.withColumnRenamed("angle", "_angle").join(chosen.select(key, "angle", _c("n").alias("_all")), key).groupBy(key, "section").agg(
+        F.max("n").alias("n"), F.max("_all").alias("_all"), F.max("angle").alias("angle"),
+        F.max(F.when(_c("_angle") == _c("angle"), _c("score"))).alias("_own"),
+        F.max(F.when(_c("_angle") == 0, _c("score"))).alias("_level"), F.max("score").alias("_peak"),
+        F.max_by("_angle", F.struct("score", -F.abs("_angle"))).alias("_nearest")).where(_c("n") >= SECTION_POINTS)
+    gain = _c("_own") / _c("_level")
+    close = (F.abs(_c("_nearest") - _c("angle")) <= COARSE) | (_c("_own") >= SECTION_NEAR * _c("_peak"))
+    return facts.groupBy(key).agg(
+        (~F.bool_or((gain < SECTION_LOSS) & (_c("n") >= SECTION_WEIGHT * _c("_all"))) & (F.count_if((gain >= SECTION_GAIN) & close) >= 2)
+         ).alias("supported"))
 
 
 def angle_search(points: DataFrame, key: str) -> DataFrame:
-    """Best text angle per mask, 0 unless independent sections agree.  ``points``: key, pos, px, py.
+    """Best text angle per mask, 0 unless it is clear and independent sections agree.
 
-    Large masks are strided to about 8192 points first, which bounds a group.
+    ``points``: key, px, py; masks of fewer than four points have no row.
     """
-    n = points.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 4")
-    sample = points.join(n, key).where(_c("pos") % F.ceil(_c("_n") / SAMPLE) == 0).select(key, "pos", "px", "py")
-
-    def solve(group, rows):
-        grid = np.array(rows, dtype=float)
-        return [(*group, len(rows), *measure(grid[:, 1], grid[:, 2]))]
-    return ordered_groups(sample, [key], ["pos"], solve, f"{key} bigint, points bigint, vertical boolean, sure_direction boolean, "
-                                                         "candidate double, score double, angle double")
+    enough = points.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n >= 4").select(key)
+    points = points.select(key, _c("px").cast("double").alias("px"), _c("py").cast("double").alias("py")).join(enough, key)
+    scores = _candidates(points, key)
+    tops = _best(scores, [key, "vertical"]).groupBy(key).agg(
+        F.max(F.when(_c("vertical"), _c("top"))).alias("_v"), F.max(F.when(~_c("vertical"), _c("top"))).alias("_h"))
+    upright = _c("_v.score") > _c("_h.score")
+    apart = F.abs(_c("_v.score") - _c("_h.score")) > UNSURE * F.greatest("_v.score", "_h.score")
+    chosen = tops.select(key, upright.alias("vertical"), apart.alias("sure"), F.when(upright, _c("_v")).otherwise(_c("_h")).alias("_top"))
+    chosen = chosen.select(key, "vertical", "sure", "_top.angle", "_top.score", "_top.n")
+    own = scores.select(key, "vertical", _c("angle").alias("_a"), _c("score").alias("_s")).join(
+        chosen.select(key, "vertical", "angle", "score"), [key, "vertical"])
+    rival = (_c("_s") >= RIVAL * _c("score")) & (F.abs(_c("_a") - _c("angle")) >= RIVAL_APART)
+    facts = own.groupBy(key).agg(F.max(F.when(_c("_a") == 0, _c("_s"))).alias("_level"), F.bool_or(rival).alias("_rival"))
+    good = ((F.abs("angle") >= MIN_TURN) & (_c("n") >= MIN_POINTS) & (_c("score") >= MIN_GAIN * _c("_level")) & ~_c("_rival")
+            & (_c("sure") | (F.abs("angle") < LIMIT - 2)) & F.coalesce("supported", F.lit(False)))
+    return chosen.join(facts, key).join(_supported(points, chosen, key), key, "left").select(
+        key, _c("n").alias("points"), "vertical", _c("sure").alias("sure_direction"), _c("angle").alias("candidate"),
+        F.round("score", 6).alias("score"), F.when(good, _c("angle")).otherwise(0.0).alias("angle"))

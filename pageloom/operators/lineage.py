@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.core import ranking
+from pageloom.functions import text as X
 
 _c = F.col
 KEY = ["image_id", "region_id"]
@@ -122,12 +123,19 @@ def validate_artifacts(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 def orphan_assets(files: DataFrame, references: DataFrame, grace_minutes: int, protected: DataFrame | None = None,
                   cap: int | None = None) -> DataFrame:
-    """Old files nothing refers to; ``cap`` bounds one collection run per project."""
+    """Old files nothing refers to; ``cap`` bounds one collection run per project.
+
+    ``protected`` directories keep everything below them, at any depth.
+    """
     out = (files.where(_c("age_minutes") >= grace_minutes)
            .join(references.select("path").distinct(), "path", "left_anti"))
     if protected is not None:
-        out = (out.withColumn("directory", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
-               .join(protected.select("directory"), "directory", "left_anti").drop("directory"))
+        # a path lies in as many folders as it has slashes: those meet the protected ones
+        parts = F.split("path", "/")
+        above = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+        safe = (out.select("path", F.explode(above).alias("directory")).where(_c("directory") != _c("path"))
+                .join(protected.select("directory"), "directory", "left_semi").select("path").distinct())
+        out = out.join(safe, "path", "left_anti")
     if cap is not None:
         turn = Window.partitionBy("project_id").orderBy("path")
         out = out.withColumn("_n", F.row_number().over(turn)).where(_c("_n") <= cap).drop("_n")
@@ -136,10 +144,10 @@ def orphan_assets(files: DataFrame, references: DataFrame, grace_minutes: int, p
 
 def reconcile_ids(requested: DataFrame, received: DataFrame) -> DataFrame:
     """ok / missing / blank / extra / duplicate for every id on either side."""
-    got = received.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.max(F.trim("text")).alias("_text"))
+    got = received.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n"), F.bool_or(X.has_text(_c("text"))).alias("_said"))
     want = requested.select(*KEY, F.lit(True).alias("_want"))
     verdict = (F.when(_c("_want").isNull(), "extra").when(_c("_n").isNull(), "missing").when(_c("_n") > 1, "duplicate")
-               .when(_c("_text") == "", "blank").otherwise("ok"))
+               .when(~_c("_said"), "blank").otherwise("ok"))
     return want.join(got, KEY, "full").select(*KEY, verdict.alias("status"))
 
 

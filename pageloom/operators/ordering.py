@@ -269,23 +269,35 @@ def split_gutters(profile: DataFrame, typical: DataFrame) -> DataFrame:
 def merge_tiny_bands(bands: DataFrame, typical: DataFrame) -> DataFrame:
     """Join bands thinner than .45 of typical to their nearer neighbour, first one first.
 
-    A mask has at most one band per two scan lines, so its bands fit one group.
+    One pass from the top holds at most two bands: the last settled one and the
+    one still growing.  A thin band goes up if what is above is no further than
+    what is below, else it swallows the next band and is looked at again.
     """
-    rows = bands.join(typical, "mask_id").select("mask_id", "x0", "x1", "height")
-
-    def merge(key, held):
-        runs, limit = [(a, b) for a, b, _ in held], held[0][2] * 0.45
-        while len(runs) > 1:
-            thin = [i for i, (a, b) in enumerate(runs) if b - a < limit]
-            if not thin:
-                break
-            at = thin[0]
-            above = runs[at][0] - runs[at - 1][1] if at > 0 else None
-            below = runs[at + 1][0] - runs[at][1] if at + 1 < len(runs) else None
-            low = at - 1 if below is None or (above is not None and above <= below) else at
-            runs[low:low + 2] = [(runs[low][0], runs[low + 1][1])]
-        return [(*key, a, b) for a, b in runs]
-    return ordered_groups(rows, ["mask_id"], ["x0"], merge, "mask_id bigint, x0 bigint, x1 bigint")
+    by_mask = Window.partitionBy("mask_id").orderBy("x0")
+    rows = (bands.join(typical, "mask_id")
+            .select("mask_id", "x0", "x1", (_c("height") * 0.45).alias("limit"), F.lead("x0").over(by_mask).alias("next_x0")))
+    rows = rows.withColumn("next_x0", F.coalesce("next_x0", F.lit(-1)).cast("bigint"))
+
+    def step(state, row):
+        mask, x0, x1, limit, next_x0 = row
+        settled, growing = state
+        growing = (x0 if growing is None else growing, x1)
+        last = next_x0 < 0
+        thin = growing[1] - growing[0] < limit
+        rises = settled is not None and (last or growing[0] - settled[1] <= next_x0 - growing[1])
+        if thin and rises:
+            settled = (settled[0], growing[1])
+        elif thin and not last:
+            state[:] = [settled, growing[0]]
+            return
+        else:
+            if settled is not None:
+                yield mask, *settled
+            settled = growing
+        state[:] = [settled, None]
+        if last:
+            yield mask, *settled
+    return ordered_fold(rows, ["mask_id"], ["x0"], lambda: [None, None], step, "mask_id bigint, x0 bigint, x1 bigint")
 
 
 def pack_requests(items: DataFrame, max_items: int = 32, max_chars: int = 8000) -> DataFrame:
@@ -312,12 +324,20 @@ def reorder_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def move_page(pages: DataFrame, moves: DataFrame) -> DataFrame:
-    """Swap each moved page with the page at its target position."""
+    """Swap each moved page with the page at its target position.
+
+    Every page comes out once.  A project's moves must not share a page or a
+    position; those that do are contradictory, and such a project keeps its order.
+    """
     source = pages.join(moves, ["project_id", "image_id"]).select(
         "project_id", _c("order_index").alias("_from"), _c("target_index").alias("_to"))
-    hit = pages.join(source, "project_id", "left")
-    return hit.select("project_id", "image_id", F.when(_c("order_index") == _c("_from"), _c("_to")).when(
-        _c("order_index") == _c("_to"), _c("_from")).otherwise(_c("order_index")).alias("new_index"))
+    ends = source.select("project_id", F.explode(F.array_distinct(F.array("_from", "_to"))).alias("_at"))
+    clash = ends.groupBy("project_id", "_at").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("project_id").distinct()
+    sound = source.join(clash, "project_id", "left_anti")
+    swap = sound.select("project_id", _c("_from").alias("order_index"), _c("_to").alias("_new")).unionByName(
+        sound.where("_from <> _to").select("project_id", _c("_to").alias("order_index"), _c("_from").alias("_new")))
+    return pages.join(swap, ["project_id", "order_index"], "left").select(
+        "project_id", "image_id", F.coalesce("_new", "order_index").alias("new_index"))
 
 
 def append_pages(pages: DataFrame, added: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def frame_outside_page() -> Column:
     cx, cy = c("x") + c("w") / 2, c("y") + c("h") / 2
     off = ((F.round(cx - half_w, 9) < 0) | (F.round(cx + half_w, 9) > c("width"))
            | (F.round(cy - half_h, 9) < 0) | (F.round(cy + half_h, 9) > c("height")))
-    return c("visible") & (F.trim(c("translated_text")) != "") & off
+    return c("visible") & (X.strip(c("translated_text")) != "") & off
 
 
 PAGE_RULES = {"image_boundary_collision", "inpainting_missing", "residual_text", "residual_outside_mask",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.core import ranking
+from pageloom.functions import text as X
 
 _c = F.col
 
@@ -123,7 +124,7 @@ def assemble_chunks(chunks: DataFrame, expected: DataFrame) -> DataFrame:
     return got.join(expected, "region_id").where(_c("chunks") == _c("expected")).select(
         "region_id", "chunks", "confidence",
         F.array_join(F.transform("_parts", lambda p: p["text"]), "").alias("text"),
-        F.transform(F.filter("_parts", lambda p: F.trim(p["text"]) == ""), lambda p: p["chunk_index"]).alias("empty_chunks"))
+        F.transform(F.filter("_parts", lambda p: X.strip(p["text"]) == ""), lambda p: p["chunk_index"]).alias("empty_chunks"))
 
 
 def next_attempt(checkpoints: DataFrame) -> DataFrame:

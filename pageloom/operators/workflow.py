@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.core.fold import ordered_fold
+from pageloom.functions import text as X
 from pageloom.operators.areas import union_area
 
 _c = F.col
@@ -187,7 +188,7 @@ def preserved_conflicts(regions: DataFrame, allowed: DataFrame, preserved: DataF
     keys = ["image_id", "region_id"]
     flag = lambda df, n: df.select(*keys).distinct().withColumn(n, F.lit(True))
     rows = regions.select(*keys, "locked", "region_type", "mask_pixels", "created_by_run",
-                          (_c("visible") & (F.trim("translated_text") != "")).alias("_shown"), F.lit(True).alias("_exists"))
+                          (_c("visible") & (X.strip(_c("translated_text")) != "")).alias("_shown"), F.lit(True).alias("_exists"))
     marked = rows
     for df, n in ((allowed, "_allowed"), (preserved, "_kept"), (scope, "_scope")):
         marked = marked.join(flag(df, n), keys, "full" if n != "_scope" else "left")

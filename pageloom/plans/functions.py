@@ -77,10 +77,12 @@ _NAME = "concat(regexp_replace(url, '[^A-Za-z0-9]+', '_'{g}), page_id * 7, '.PNG
 _NAME_S, _NAME_D = _NAME.format(g=""), _NAME.format(g=", 'g'")
 
 
-@query("f09_natural_key", f"""select page_id, array_to_string(list_transform(regexp_extract_all(lower({_NAME_D}), '(\\d+|\\D+)'),
-   lambda p: case when regexp_matches(p, '^\\d') then lpad(case when ltrim(p, '0') = '' then '0' else ltrim(p, '0') end, 20, '0') else p end), '') as natural_key from pages""")
+@query("f09_natural_key", f"""select page_id, array_to_string(list_transform(regexp_extract_all(
+   case when regexp_matches({_NAME_D}, '^[0-9]') then '~' else '' end || lower({_NAME_D}), '([0-9]+|[^0-9]+)'),
+   lambda p: case when regexp_matches(p, '^[0-9]') then concat('1', lpad(cast(length(regexp_replace(p, '^0+(.)', '\\1')) as varchar), 10, '0'),
+     regexp_replace(p, '^0+(.)', '\\1')) else concat('0', replace(p, '~', '')) end), '|') as natural_key from pages""")
 def _f09(t):
-    return t.raw("pages").select("page_id", X.natural_key(F.expr(_NAME_S)).alias("natural_key"))
+    return t.raw("pages").select("page_id", F.array_join(X.natural_key(F.expr(_NAME_S)), "|").alias("natural_key"))
 
 
 _MEMBER = "case page_id % 6 when 0 then concat('/', url) when 1 then concat('a/../', page_id) when 2 then concat('a\\\\b', page_id) when 3 then concat('c..d/', page_id) when 4 then url else '' end"

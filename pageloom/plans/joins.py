@@ -267,7 +267,8 @@ def _j17(t):
 
 _ORPHANS = """select project_id, f.path, bytes, row_number() over (partition by project_id order by f.path) n
   from asset_files f where age_minutes >= 10 and file_id not in (select file_id from asset_references)
-    and regexp_extract(path, '^(.*)/[^/]*$', 1) not in (select 'history/' || source from source_texts group by source having max(n_chars) % 2 = 0)"""
+    and not exists (select 1 from (select 'history/' || source as d from source_texts group by source having max(n_chars) % 2 = 0)
+      where starts_with(f.path, d || '/'))"""
 
 
 def orphans(t, cap=None):
@@ -277,16 +278,16 @@ def orphans(t, cap=None):
     return N.orphan_assets(t.asset_files, refs, 10, locked, cap)
 
 
-@query("j18_orphan_assets", f"select project_id, path, bytes from ({_ORPHANS}) where n <= 128")
+@query("j18_orphan_assets", f"select project_id, path, bytes from ({_ORPHANS})")
 def _j18(t):
-    return orphans(t, 128).select("project_id", "path", "bytes")
+    return orphans(t).select("project_id", "path", "bytes")
 
 
 @query("j19_reconcile_ids", """
   with q as (select image_id, reading_order from page_texts where role = 'user'),
-  g as (select image_id, reading_order - 1 as reading_order, count(*) n, max(trim(text)) t from page_texts where role <> 'user' group by 1, 2)
+  g as (select image_id, reading_order - 1 as reading_order, count(*) n, bool_or(regexp_matches(text, '[^\\s\\p{Z}\\p{Cf}\\p{Cc}\\p{Mn}\\p{Me}]')) t from page_texts where role <> 'user' group by 1, 2)
   select coalesce(q.image_id, g.image_id) as image_id, coalesce(q.reading_order, g.reading_order) as region_id,
-    case when q.image_id is null then 'extra' when n is null then 'missing' when n > 1 then 'duplicate' when t = '' then 'blank' else 'ok' end as status
+    case when q.image_id is null then 'extra' when n is null then 'missing' when n > 1 then 'duplicate' when not t then 'blank' else 'ok' end as status
   from q full join g on q.image_id = g.image_id and q.reading_order = g.reading_order""")
 def _j19(t):
     asked = t.page_texts.where("role = 'user'").selectExpr("image_id", "reading_order as region_id")

@@ -244,4 +244,4 @@ def _a22(t):
     # Ink points of each page: the corners of its lettering boxes.
     corners = F.posexplode(G.box_to_polygon(_c("x") / 4, _c("y") / 4, _c("w") / 4, _c("h") / 4)).alias("corner", "p")
     return angle_search(t.lettering.select("image_id", "region_id", corners).select(
-        "image_id", (_c("region_id") % 1000003 * 4 + _c("corner")).alias("pos"), _c("p.x").alias("px"), _c("p.y").alias("py")), "image_id")
+        "image_id", _c("p.x").alias("px"), _c("p.y").alias("py")), "image_id")

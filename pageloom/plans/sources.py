@@ -66,7 +66,7 @@ def _s03(t):
   x as (select project_id, max(order_index) mx from image_pages group by 1)
   select m.project_id, member, coalesce(mx, -1) + row_number() over (partition by m.project_id order by k) as order_index from m left join x using (project_id)""")
 def _s04(t):
-    return A.pages_from_members(t.source_texts.selectExpr("doc_id % 50 as project_id", "concat('Page', doc_id, '.png') as member"), t.image_pages, 22)
+    return A.pages_from_members(t.source_texts.selectExpr("doc_id % 50 as project_id", "concat('Page', doc_id, '.png') as member"), t.image_pages)
 
 
 def _manifest(t):

@@ -52,14 +52,13 @@ def validate_members(members: DataFrame, max_pages: int = 2000, max_bytes: int =
         .when(c("_long"), "name_too_long").when(c("pages") > max_pages, "too_many_pages").when(c("pages") == 0, "no_pages")).alias("problem"))
 
 
-def pages_from_members(members: DataFrame, existing: DataFrame, prefix: int = 6) -> DataFrame:
+def pages_from_members(members: DataFrame, existing: DataFrame) -> DataFrame:
     """Ordered pages of each archive, continuing after the project's last order_index.
 
-    ``members``: project_id, archive, member; natural keys sort by text, so a
-    key prefix serves as the ranking bucket.
+    ``members``: project_id, archive, member; a natural key's first piece serves as the ranking bucket.
     """
     keyed = members.withColumn("sort_key", X.natural_key(F.replace("member", F.lit("\\"), F.lit("/"))))
-    placed = ranking.ranked(keyed, ["project_id"], [F.col("sort_key"), F.col("member")], F.substring("sort_key", 1, prefix))
+    placed = ranking.ranked(keyed, ["project_id"], [F.col("sort_key"), F.col("member")], F.get("sort_key", F.lit(0)))
     last = existing.groupBy("project_id").agg(F.max("order_index").alias("_last"))
     return placed.join(last, "project_id", "left").select(
         "project_id", "member", (F.coalesce("_last", F.lit(-1)) + F.col("position")).alias("order_index"))

@@ -1,16 +1,21 @@
 """Greedy and component operators against slow plain-Python versions."""
 
+import math
 import random
 
+import regex
 from pyspark.sql import functions as F
 
 from pageloom.core import ranking
 from pageloom.functions import text as X
+from pageloom.functions import scoring
 from pageloom.functions.regions import unique_key
 from pageloom.functions.replies import read_reply
 from pageloom.operators import components as C
+from pageloom.operators import lineage
 from pageloom.operators import ordering as O
 from pageloom.operators import workflow as K
+from pageloom.operators.angles import angle_search
 
 
 def boxes(seed, pages=4, n=14):
@@ -131,8 +136,111 @@ def test_text_helpers(spark):
     rows = df.select("t", X.word_count(F.col("t")).alias("w"), X.wrap(F.col("t"), 6).alias("lines"), X.has_repetition(F.col("t")).alias("rep")).collect()
     assert rows[0].w == 5 and [r.rep for r in rows] == [False, True, True, False]
     assert all(len(line) <= 6 for line in rows[0].lines) and rows[3].lines == [""]
-    chunks = X._cut_chunks("a" * 30 + " " + "b" * 30, 40)
-    assert "".join(chunks) == "a" * 30 + " " + "b" * 30 and chunks[0] == "a" * 30 + " "
+    text = "a" * 30 + " " + "b" * 30
+    chunks = spark.createDataFrame([(text,)], "t string").select(X.text_chunks(F.col("t"), 40).alias("c")).first().c
+    assert "".join(chunks) == text and chunks[0] == "a" * 30 + " "
+
+
+def greedy_lines(text, width):
+    """Wrap by trying every break place of ``can_break``, one cell at a time."""
+    def may_end(a, b):
+        word = regex.compile(r"['_\u2019A-Za-z0-9]|(?=[\u00C0-\u2E7F])[\p{L}\p{N}]")
+        if a in list(X.OPENING) or b in list(X.CLOSING) or "\u00a0" in (a, b) or a == b and a in ("…", "—"):
+            return False
+        return not (word.match(a) and word.match(b) or a in (".", ",", ":") and regex.fullmatch("[0-9]+", b))
+
+    cells, lines = regex.findall(r"\X", text or ""), []
+    while len(cells) > width:
+        places = [k for k in range(1, width + 1) if may_end(cells[k - 1], cells[k])]
+        k = max(places, default=width)
+        lines.append("".join(cells[:k]).rstrip(" "))
+        cells = cells[k:]
+        while cells and cells[0] == " ":
+            cells.pop(0)
+        if not cells:
+            return lines
+    return lines + ["".join(cells)]
+
+
+def test_wrap_against_plain_code(spark):
+    rng = random.Random(8)
+    texts = ["", None, "  ", "日本語「テスト」。" * 9, "3.14159, 2,718 x" * 4, "…… —— (" * 6] + [
+        "".join(rng.choices("ab 　(。」…1.,é\u0301\n", k=rng.randint(1, 70))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for width in (1, 6, 24):
+        got = dict(df.select("i", X.wrap(F.col("t"), width)).collect())
+        assert all(list(got[i]) == greedy_lines(t, width) for i, t in enumerate(texts))
+
+
+def test_thin_bands(spark):
+    """Restart from the first thin band until none is left."""
+    def settle(bands, limit):
+        bands = list(bands)
+        while len(bands) > 1 and (thin := [i for i, (a, b) in enumerate(bands) if b - a < limit]):
+            i = thin[0]
+            gaps = {i - 1: bands[i][0] - bands[i - 1][1] if i else None, i: bands[i + 1][0] - bands[i][1] if i + 1 < len(bands) else None}
+            low = min((k for k in gaps if gaps[k] is not None), key=lambda k: (gaps[k], k))
+            bands[low:low + 2] = [(bands[low][0], bands[low + 1][1])]
+        return bands
+
+    rng, rows, want = random.Random(4), [], []
+    for mask in range(200):
+        at, bands = 0, []
+        for _ in range(rng.randint(1, 9)):
+            start = at + rng.randint(1, 8)
+            at = start + rng.randint(1, 12)
+            bands.append((start, at))
+        rows += [(mask, *b) for b in bands]
+        want += [(mask, *b) for b in settle(bands, 7.2)]
+    heights = spark.range(200).selectExpr("id as mask_id", "16.0D as height")
+    assert sorted(map(tuple, O.merge_tiny_bands(spark.createDataFrame(rows, "mask_id long, x0 long, x1 long"), heights).collect())) == sorted(want)
+
+
+def test_text_angle_of_slanted_lines(spark):
+    rng, rows = random.Random(2), []
+    for k, degrees in enumerate((0, 12, -20, 30)):
+        c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
+        for line in range(5):
+            for _ in range(60):
+                u, v = rng.uniform(0, 150), line * 14 + rng.uniform(0, 4)
+                rows.append((k, u * c - v * s, u * s + v * c))
+    got = {r.k: r for r in angle_search(spark.createDataFrame(rows, "k long, px double, py double"), "k").collect()}
+    assert [got[k].vertical for k in range(4)] == [False] * 4 and got[0].angle == 0 and got[0].points == 300
+    assert all(abs(got[k].angle - d) <= 1 for k, d in ((1, 12), (2, -20), (3, 30)))
+
+
+def test_names_sort_as_people_do(spark):
+    names = ["page-1", "page1", "Page 2", "page10", "page9", "p" + "9" * 21, "p1" + "0" * 21, "10", "9", "a", "007", "7b"]
+
+    def key(name):
+        return [(1, int(x)) if x.isdecimal() else (0, x) for x in regex.split(r"(\d+)", name.lower()) if x or True]
+
+    got = [r.n for r in spark.createDataFrame([(n,) for n in names], "n string").orderBy(X.natural_key(F.col("n")), "n").collect()]
+    assert got == sorted(names, key=lambda n: (key(n), n))
+
+
+def test_moves_keep_every_page_once(spark):
+    pages = spark.createDataFrame([(p, i, i) for p in (1, 2) for i in range(6)], "project_id long, image_id long, order_index long")
+    moves = spark.createDataFrame([(1, 0, 3), (1, 5, 1), (2, 0, 2), (2, 4, 2)], "project_id long, image_id long, target_index long")
+    got = {(r.project_id, r.image_id): r.new_index for r in O.move_page(pages, moves).collect()}
+    assert [got[1, i] for i in range(6)] == [3, 5, 2, 0, 4, 1] and [got[2, i] for i in range(6)] == list(range(6))
+
+
+def test_protected_folders_keep_what_lies_below(spark):
+    files = spark.createDataFrame([(1, f"{d}/f", 99) for d in ("keep", "keep/a", "keep/a/b", "keeper", "x", "x/keep")],
+                                  "project_id long, path string, age_minutes long")
+    kept = spark.createDataFrame([("keep",)], "directory string")
+    gone = lineage.orphan_assets(files, files.where("false"), 10, kept)
+    assert sorted(r.path for r in gone.collect()) == ["keeper/f", "x/f", "x/keep/f"]
+
+
+def test_cached_scores_lose_no_row(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (2, "x", None), (3, "a", "b"), (4, "c", "d")], "i long, p string, q string")
+    keyed = {r.i: r.cache_key for r in scoring.cache_key(rows, "c", ["p", "q"]).collect()}
+    assert len(set(keyed.values())) == 4
+    cache = spark.createDataFrame([(keyed[1], 10), (keyed[3], 1), (keyed[3], 2), (keyed[4], None)], "cache_key string, score long")
+    hits, fresh, corrupt = scoring.cached_score(rows, cache, "c", ["p", "q"], lambda d: d.withColumn("score", F.lit(0)), "score")
+    assert [r.i for r in hits.collect()] == [1] and sorted(r.i for r in fresh.collect()) == [2, 3, 4] and corrupt.count() == 2
 
 
 def test_replies():
