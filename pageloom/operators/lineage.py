@@ -225,10 +225,21 @@ def select_model(requests: DataFrame, models: DataFrame, cloud_providers: Sequen
     A request overrides the default only at the stage the work starts from.
     """
     asked = F.when(_c("stage") == _c("start_stage"), _c("requested"))
-    fits = F.when(asked.isNull(), _c("is_default")).otherwise((_c("provider") == asked) | (_c("name") == asked))
-    best = (models.where("enabled").join(requests, "kind").where(fits)
-            .groupBy("request_id", "kind").agg(F.max_by(F.struct("model_id", "provider", "name"),
-                                                        F.struct("updated", "model_id")).alias("_m")))
-    chosen = requests.join(best, ["request_id", "kind"], "left")
+    usable = models.where("enabled")
+
+    def newest(keys: list[str]) -> DataFrame:
+        return usable.groupBy(*keys).agg(F.max_by(F.struct("model_id", "provider", "name", "updated"),
+                                                  F.struct("updated", "model_id")).alias("_n"))
+
+    # at most one candidate per (kind, provider), (kind, name) and kind meets each request
+    by_provider = newest(["kind", "provider"]).select("kind", _c("provider").alias("_asked"), _c("_n").alias("_p"))
+    by_name = newest(["kind", "name"]).select("kind", _c("name").alias("_asked"), _c("_n").alias("_q"))
+    usual = usable.where("is_default").groupBy("kind").agg(
+        F.max_by(F.struct("model_id", "provider", "name", "updated"), F.struct("updated", "model_id")).alias("_d"))
+    keyed = requests.withColumn("_asked", asked)
+    found = (keyed.join(by_provider, ["kind", "_asked"], "left").join(by_name, ["kind", "_asked"], "left").join(usual, "kind", "left"))
+    age = lambda m: F.struct(_c(m)["updated"].alias("updated"), _c(m)["model_id"].alias("model_id"))
+    better = F.when(_c("_p").isNull() | (age("_q") > age("_p")), F.coalesce("_q", "_p")).otherwise(_c("_p"))
+    chosen = found.withColumn("_m", F.when(asked.isNull(), _c("_d")).otherwise(better))
     return chosen.select("request_id", "kind", _c("_m.model_id").alias("model_id"),
                          F.coalesce(_c("_m.provider"), asked).isin(*cloud_providers).alias("cloud"))

@@ -174,7 +174,7 @@ def _w13(t):
 
 @query("w14_pack_requests")
 def _w14(t):
-    items = t.source_texts.select(F.crc32(F.encode("source", "utf-8")).alias("image_id"), _c("doc_id").alias("seq"), "text")
+    items = t.page_texts.select("image_id", _c("reading_order").alias("seq"), "text")
     return O.pack_requests(items)
 
 

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
-CHECKPOINT_KEY = "spark.checkpoint.dir"
-
 
 def local_session(cpus: int = 8, app: str = "pageloom") -> SparkSession:
     return (
@@ -23,18 +19,3 @@ def local_session(cpus: int = 8, app: str = "pageloom") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the cluster's shared folder.
-
-    Only a session without ``spark.checkpoint.dir`` (a local test run) gets a
-    temporary folder; on a cluster the configured shared folder is used.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = spark.conf.get(CHECKPOINT_KEY, None)
-    if shared is None and not context.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))

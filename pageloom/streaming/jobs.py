@@ -108,9 +108,8 @@ def fence_late(results: DataFrame) -> DataFrame:
 
 def fence_late_batch(results: DataFrame) -> DataFrame:
     first = results.groupBy("task_id", "generation").agg(F.min("event_id").alias("_since"))
-    newer = first.select("task_id", _c("generation").alias("_g"), "_since")
-    later = (first.select("task_id", "generation").join(newer, "task_id").where("_g > generation")  # generations of one task are few
-             .groupBy("task_id", "generation").agg(F.min("_since").alias("_until")))
+    after = Window.partitionBy("task_id").orderBy("generation").rowsBetween(1, Window.unboundedFollowing)
+    later = first.select("task_id", "generation", F.min("_since").over(after).alias("_until"))
     live = (_c("task_status") == "RUNNING") | ((_c("task_status") == "PAUSED") & _c("succeeded"))
     return results.join(later, ["task_id", "generation"], "left").where(
         live & (_c("_until").isNull() | (_c("event_id") < _c("_until")))).select("task_id", "event_id")
