@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.core.shared import written
+from pageloom.llm.batches import bounded
 
 #: First and last code point of the scripts told apart.
 SCRIPTS = {
@@ -40,75 +41,89 @@ SCRIPTS = {
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF)),
 }
 UNKNOWN = "und"
+#: Characters of text that a task works on at a time.
+BATCH_CHARS = 5_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 RESULT = "lang_pred string, score double"
 SPANS = RESULT + ", spans array<struct<start:int,end:int,lang:string>>"
 
 
-def script_of(word: str) -> str:
-    """Script of a word's first letter."""
-    point = ord(word[0])
-    for name, ranges in SCRIPTS.items():
-        if any(a <= point <= b for a, b in ranges):
-            return name
-    return "other"
+_EDGES = sorted((a, b, i) for i, ranges in enumerate(SCRIPTS.values()) for a, b in ranges)
+_FROM = np.array([a for a, _, _ in _EDGES])
+_TO = np.array([b for _, b, _ in _EDGES])
+_SCRIPT = np.array([i for _, _, i in _EDGES])
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+SLOTS = 1 << 20
 
 
-def grams_of(word: str, longest: int) -> list[str]:
-    """Character n-grams of the word with its ends marked, and the word itself."""
-    marked = f"<{word}>"
-    out = [marked[i:i + n] for n in range(2, longest + 1) for i in range(len(marked) - n + 1)]
-    out += list(word)
-    if len(marked) > longest:
-        out.append(marked)
-    return out
+def scripts_of(points: np.ndarray) -> np.ndarray:
+    """Number of the script of each code point; ``len(SCRIPTS)`` for any other."""
+    at = np.searchsorted(_FROM, points, side="right") - 1
+    return np.where((at >= 0) & (points <= _TO[at]), _SCRIPT[at], len(SCRIPTS))
+
+
+def gram_hashes(words: list[str], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, word) of the character n-grams (1 to ``longest``) of words with marked ends, and each word's first code point."""
+    points = np.frombuffer("".join(f"<{w[:64]}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter((min(len(w), 64) + 2 for w in words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))  # characters up to the word's end
+    hashes, owners = [], []
+    rolled = np.zeros(len(points), np.uint64)
+    for n in range(1, longest + 1):
+        rolled = rolled[:len(points) - n + 1] * _PRIME + points[n - 1:]
+        rolled ^= rolled >> np.uint64(31)
+        whole = left[:len(rolled)] >= n
+        hashes.append(rolled[whole])
+        owners.append(owner[:len(rolled)][whole])
+    return np.concatenate(hashes), np.concatenate(owners), points[np.cumsum(lengths) - lengths + 1]
 
 
 @dataclass
 class Model:
-    """Log-odds of each n-gram by language, and the scripts each language writes."""
+    """Log-odds of each n-gram by language, and the languages that write each script."""
 
     langs: list[str]
-    grams: dict[str, int]
+    keys: np.ndarray
     weights: np.ndarray
-    scripts: dict[str, np.ndarray]
+    writes: np.ndarray
     longest: int
     penalty: float
-    memo: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def word(self, word: str) -> np.ndarray:
-        """Score of one lower-case word in every language; excluded ones lie far below."""
-        known = self.memo.get(word)
-        if known is not None:
-            return known
-        rows = [i for i in map(self.grams.get, grams_of(word[:64], self.longest)) if i is not None]
-        score = self.weights[rows].mean(axis=0) * min(len(rows), 6) if rows else np.zeros(len(self.langs), np.float32)
-        allowed = self.scripts.get(script_of(word))
-        if allowed is not None and allowed.any():
-            score = np.where(allowed, score, -50.0)
-        score = score.astype(np.float32)
-        if len(self.memo) >= 300_000:
-            self.memo.clear()
-        self.memo[word] = score
-        return score
-
-    def paths(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """Best language of every word; all texts of a batch advance together."""
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-        sizes = np.array([len(texts[i]) for i in order])
-        total = int(sizes.sum())
-        number: dict[str, int] = {}
-        flat = np.fromiter((number.setdefault(w, len(number)) for i in order for w in texts[i]), np.int64, total)
-        if not total:
-            return [np.zeros(0, np.int64) for _ in texts]
-        table = np.stack([self.word(w) for w in number])
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        n_langs = len(self.langs)
-        switched = np.zeros((total, n_langs), bool)
-        source = np.zeros(total, np.int16)
+    slots: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        self.slots = np.full(SLOTS, -1, np.int32)
+        self.slots[(self.keys[::-1] % np.uint64(SLOTS)).astype(np.int64)] = np.arange(len(self.keys) - 1, -1, -1, dtype=np.int32)
+
+    def table(self, words: list[str]) -> np.ndarray:
+        """Score of lower-case words in every language; languages of other scripts lie far below."""
+        hashes, owners, firsts = gram_hashes(words, self.longest)
+        at = self.slots[(hashes % np.uint64(SLOTS)).astype(np.int64)]
+        known = at >= 0
+        known[known] = self.keys[at[known]] == hashes[known]
+        at, owners = at[known], owners[known]
+        counts = np.bincount(owners, minlength=len(words))
+        scale = np.minimum(counts, 6) / np.maximum(counts, 1)
+        score = np.stack([np.bincount(owners, self.weights[at, k], len(words)) * scale for k in range(len(self.langs))], axis=1)
+        allowed = self.writes[scripts_of(firsts)]
+        return np.where(allowed | ~allowed.any(axis=1, keepdims=True), score, -50.0).astype(np.float32)
+
+    def paths(self, flat: list[str], sizes: np.ndarray) -> np.ndarray:
+        """Best language of every word of texts laid end to end; the texts advance together."""
+        labels = np.zeros(len(flat), np.int64)
+        if not flat:
+            return labels
+        known = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+        flat_at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        table = self.table(list(known))
+        order = np.argsort(-sizes, kind="stable")
+        first = (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+        switched = np.zeros((len(flat), len(self.langs)), bool)
+        source = np.zeros(len(flat), np.int16)
         longest = int(sizes[0])
         active = np.searchsorted(-sizes, -np.arange(longest), side="left")
-        best = table[flat[first[:active[0]]]].copy()
+        best = table[flat_at[first[:active[0]]]].copy()
         final = np.zeros(len(order), np.int64)
         for t in range(1, longest + 1):
             n = active[t] if t < longest else 0
@@ -122,8 +137,7 @@ class Model:
             other = best[np.arange(n), top] - self.penalty
             change = other[:, None] > best
             switched[at], source[at] = change, top
-            best = np.where(change, other[:, None], best) + table[flat[at]]
-        labels = np.zeros(total, np.int64)
+            best = np.where(change, other[:, None], best) + table[flat_at[at]]
         now = np.zeros(len(order), np.int64)
         for t in range(longest - 1, -1, -1):
             n = active[t]
@@ -132,23 +146,29 @@ class Model:
             at = first[:n] + t
             labels[at] = now[:n]
             now[:n] = np.where(switched[at, now[:n]], source[at], now[:n])
-        out: list[np.ndarray] = [labels[:0]] * len(texts)
-        for k, i in enumerate(order):
-            out[i] = labels[first[k]:first[k] + sizes[k]]
-        return out
+        return labels
 
     def label(self, texts: list[str | None], spans: bool) -> pd.DataFrame:
-        words = [_WORD.findall(t) if t else [] for t in texts]
-        paths = self.paths([[w.lower() for w in ws] for ws in words])
-        rows = []
-        for text, ws, path in zip(texts, words, paths):
-            letters = np.bincount(path, np.fromiter(map(len, ws), np.float64, len(ws)), len(self.langs))
-            top = int(letters.argmax())
-            row = (self.langs[top], float(letters[top] / letters.sum())) if ws else (UNKNOWN, 0.0)
-            if spans:
-                row += (self._spans(text, path),)
-            rows.append(row)
-        return pd.DataFrame(rows, columns=["lang_pred", "score"] + ["spans"] * spans)
+        flat: list[str] = []
+        lengths, sizes = [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            words = _WORD.findall(text) if text else []
+            sizes[i] = len(words)
+            lengths += map(len, words)
+            if words:
+                flat += " ".join(words).lower().split(" ")
+        path = self.paths(flat, sizes)
+        del flat
+        n_langs = len(self.langs)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        letters = np.bincount(owner * n_langs + path, np.array(lengths, np.float64), len(texts) * n_langs).reshape(len(texts), n_langs)
+        top, total = letters.argmax(axis=1), letters.sum(axis=1)
+        names = np.array(self.langs, dtype=object)[top]
+        out = {"lang_pred": np.where(total > 0, names, UNKNOWN), "score": letters.max(axis=1) / np.maximum(total, 1)}
+        if spans:
+            begin = np.cumsum(sizes) - sizes
+            out["spans"] = [self._spans(t, path[a:a + n]) for t, a, n in zip(texts, begin, sizes)]
+        return pd.DataFrame(out)
 
     def _spans(self, text: str | None, path: np.ndarray) -> list[dict]:
         out: list[dict] = []
@@ -175,38 +195,39 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", sample_rows:
     part = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 30)) < int(share * (1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter] = {}
         for batch in batches:
+            seen: dict[str, Counter] = {}
             for t, name in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
-                words = Counter(w.lower() for w in _WORD.findall(t))
-                grams = seen.setdefault(name, Counter())
-                for w, n in words.items():
-                    grams["s:" + script_of(w)] += n
-                    for g in grams_of(w[:64], longest):
-                        grams["g:" + g] += n
-        for name, grams in seen.items():
-            keys = list(grams)
-            for at in range(0, len(keys), 50_000):
-                part_keys = keys[at:at + 50_000]
-                yield pa.record_batch({"lang": pa.array([name] * len(part_keys)), "gram": pa.array(part_keys),
-                                       "n": pa.array([grams[k] for k in part_keys], pa.int64())})
-
-    counts = written(usable.where(part).mapInArrow(count, "lang string, gram string, n long")
-                     .groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
-    scripts: dict[str, dict[str, int]] = {}
-    for r in counts.where("gram like 's:%'").collect():
-        scripts.setdefault(r.gram[2:], {})[r.lang] = r.n
-    langs = sorted({name for by in scripts.values() for name in by})
-    per_gram = counts.where("gram like 'g:%'").groupBy("gram").agg(
+                seen.setdefault(name, Counter()).update(w.lower() for w in _WORD.findall(t))
+            for name, words in seen.items():
+                if not words:
+                    continue
+                often = np.fromiter(words.values(), np.int64, len(words))
+                hashes, owners, firsts = gram_hashes(list(words), longest)
+                grams, at = np.unique(hashes, return_inverse=True)
+                scripts = np.bincount(scripts_of(firsts), often, len(SCRIPTS) + 1)
+                for kind, keys, n in (("gram", grams.view(np.int64), np.bincount(at, often[owners])),
+                                      ("script", np.arange(len(scripts)), scripts)):
+                    yield pa.record_batch({"lang": pa.array([name] * len(keys), pa.string()), "kind": pa.array([kind] * len(keys)),
+                                           "key": pa.array(keys, pa.int64()), "n": pa.array(n.astype(np.int64))})
+
+    counts = written(usable.where(part).mapInArrow(count, "lang string, kind string, key long, n long")
+                     .groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")), "grams")
+    scripts = [(r.key, r.lang, r.n) for r in counts.where("kind = 'script' and n > 0").collect()]
+    langs = sorted({name for _, name, _ in scripts})
+    per_gram = counts.where("kind = 'gram'").groupBy("key").agg(
         F.sum("n").alias("total"), *[F.coalesce(F.sum(F.when(F.col("lang") == name, F.col("n"))), F.lit(0)).alias(f"n{i}")
                                      for i, name in enumerate(langs)])
-    top = per_gram.orderBy(F.desc("total"), "gram").limit(max_grams).collect() if langs else []
+    top = per_gram.orderBy(F.desc("total"), "key").limit(max_grams).collect() if langs else []
     table = np.array([[r[f"n{i}"] for i in range(len(langs))] for r in top], np.float64).reshape(len(top), len(langs))
     logs = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * max(1, len(top))))
     weights = logs - logs.mean(axis=1, keepdims=True) if langs else logs
-    writes = {name: np.array([by.get(x, 0) > 0.001 * sum(s.get(x, 0) for s in scripts.values()) for x in langs])
-               for name, by in scripts.items()}
-    return Model(langs, {r.gram[2:]: i for i, r in enumerate(top)}, weights.astype(np.float32), writes, longest, penalty)
+    seen_in = np.zeros((len(SCRIPTS) + 1, len(langs)))
+    for script, name, n in scripts:
+        seen_in[script, langs.index(name)] = n
+    writes = seen_in > 0.001 * seen_in.sum(axis=0)
+    keys = np.array([r.key for r in top], np.int64).view(np.uint64)
+    return Model(langs, keys, weights.astype(np.float32), writes, longest, penalty)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = True) -> DataFrame:
@@ -225,7 +246,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Tr
         values = [t if isinstance(t, str) else None for t in texts]
         if not known.langs:
             return pd.DataFrame({"lang_pred": [UNKNOWN] * len(values), "score": 0.0} | ({"spans": [[]] * len(values)} if spans else {}))
-        return known.label(values, spans)
+        return pd.concat([known.label(values[a:b], spans) for a, b in bounded(values, BATCH_CHARS)], ignore_index=True)
 
     found = docs.withColumn("_found", label(text))
     return found.select(*docs.columns, "_found.*")

@@ -9,9 +9,24 @@ from tests.conftest import SMALL
 
 
 def model_of(langs, words, penalty):
-    grams = {f"<{w}>": i for i, w in enumerate(words)}
+    keys = np.unique(language.gram_hashes(words, 3)[0])
     rng = np.random.default_rng(3)
-    return language.Model(langs, grams, rng.normal(size=(len(words), len(langs))).astype(np.float32), {}, 2, penalty)
+    writes = np.ones((len(language.SCRIPTS) + 1, len(langs)), bool)
+    return language.Model(langs, keys, rng.normal(size=(len(keys), len(langs))).astype(np.float32), writes, 3, penalty)
+
+
+def test_grams_are_those_of_the_words():
+    words = ["ab", "zebra", "é", "x" * 100]
+    hashes, owners, firsts = language.gram_hashes(words, 4)
+    of = {}
+    for w, i in zip(words, range(len(words))):
+        marked = f"<{w[:64]}>"
+        grams = [marked[k:k + n] for n in (1, 2, 3, 4) for k in range(len(marked) - n + 1)]
+        mine = hashes[owners == i].tolist()
+        assert len(mine) == len(grams)
+        for g, h in zip(grams, mine):
+            assert of.setdefault(g, h) == h
+    assert len(set(of.values())) == len(of) and [chr(c) for c in firsts] == ["a", "z", "é", "x"]
 
 
 def test_viterbi_against_all_paths():
@@ -20,9 +35,11 @@ def test_viterbi_against_all_paths():
     for penalty in (0.0, 0.7, 3.0):
         model = model_of(["a", "b", "c"], words, penalty)
         texts = [rng.choices(words, k=rng.randint(0, 6)) for _ in range(25)]
-        for text, path in zip(texts, model.paths(texts)):
+        sizes = np.array([len(t) for t in texts])
+        paths = np.split(model.paths([w for t in texts for w in t], sizes), np.cumsum(sizes)[:-1])
+        for text, path in zip(texts, paths):
             def total(p):
-                return sum(model.word(w)[k] for w, k in zip(text, p)) - penalty * sum(a != b for a, b in zip(p, p[1:]))
+                return sum(model.table([w])[0][k] for w, k in zip(text, p)) - penalty * sum(a != b for a, b in zip(p, p[1:]))
             best = max((total(p) for p in itertools.product(range(3), repeat=len(text))), default=0)
             assert len(path) == len(text) and abs(total(path.tolist()) - best) < 1e-4
 
@@ -37,7 +54,7 @@ def test_scripts_narrow_and_spans_cover_mixed_text(spark):
     docs = spark.createDataFrame(rows + [(9, None, "en"), (10, "text", None)], "doc_id long, text string, lang string")
     model = language.learn(docs)
     assert model.langs == ["de", "en", "ru"]
-    assert model.word("зима").argmax() == 2 and model.word("house").argmax() == 1
+    assert model.table(["зима", "house"]).argmax(axis=1).tolist() == [2, 1]
     mixed = "the house and the river " * 4 + "und der fluss von mit haus " * 3 + "дом и река"
     asked = spark.createDataFrame([(1, mixed, "x", 1.5), (2, None, "x", 0.0), (3, " 12 !?", "x", 0.0), (4, "", "x", 0.0),
                                    (5, "der fluss " * 20000, "x", 0.0), (5, "der fluss " * 20000, "x", 0.0)],
