@@ -24,10 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.core.shared import written
+from pageloom.llm.batches import bounded
+
 _TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 _STOPS = frozenset(".!?\n")
 #: Tokens at least this likely to be toxic are spans; less likely ones do not add up, however long the text.
 SPAN_AT = 0.5
+#: Characters of text that a task works on at a time.
+BATCH_CHARS = 2_000_000
 RESULT = "score double"
 SPANS = RESULT + ", spans array<struct<start:int,end:int,p:double>>"
 
@@ -58,39 +63,23 @@ def features(word: str) -> list[str]:
 class Chain:
     """Weights of the toxic state's features (the other state scores 0) and of transitions.
 
-    The last weight stands for every feature not seen in training and is 0.
+    A feature not seen in training weighs nothing.
     """
 
-    index: dict[str, int] = field(default_factory=dict)
-    emit: np.ndarray = field(default_factory=lambda: np.full(1, 0.0))
+    weights: dict[str, float] = field(default_factory=dict)
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
-    memo: dict[str, tuple[float, float, float]] = field(default_factory=dict)
-
-    def slot(self, feature: str) -> int:
-        return self.index.get(feature, len(self.emit) - 1)
 
     def word(self, word: str) -> tuple[float, float, float]:
         """Score for itself, for its right neighbour and for its left neighbour."""
-        known = self.memo.get(word)
-        if known is None:
-            own = float(self.emit[[self.slot(f) for f in features(word)]].sum())
-            known = (own, float(self.emit[self.slot(f"before={word}")]), float(self.emit[self.slot(f"after={word}")]))
-            if len(self.memo) >= 300_000:
-                self.memo.clear()
-            self.memo[word] = known
-        return known
-
-    def scores(self, flat: list[str], first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Emission score of each token of sentences laid end to end."""
-        number: dict[str, int] = {}
-        at = np.fromiter((number.setdefault(w, len(number)) for w in flat), np.int64, len(flat))
-        table = np.array([self.word(w) for w in number]).reshape(len(number), 3)[at]
-        out = table[:, 0].copy()
-        inner = np.ones(len(flat), bool)
-        inner[first] = False
-        places = np.nonzero(inner)[0]
-        out[places] += table[places - 1, 1]
-        out[places - 1] += table[places, 2]
+        get = self.weights.get
+        return sum(get(f, 0.0) for f in features(word)), get(f"before={word}", 0.0), get(f"after={word}", 0.0)
+
+    def scores(self, words: list[str], at: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """Emission score of each token; ``at`` numbers tokens in ``words``, ``inner`` lists those not first in a sentence."""
+        table = np.array([self.word(w) for w in words]).reshape(len(words), 3)
+        out = table[at, 0]
+        out[inner] += table[at[inner - 1], 1]
+        out[inner - 1] += table[at[inner], 2]
         return out
 
 
@@ -123,7 +112,7 @@ def marginals(scores: np.ndarray, first: np.ndarray, sizes: np.ndarray, moves: n
         pairs += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         behind[at] = back / back.sum(axis=1, keepdims=True)
     both = ahead * behind
-    return both[:, 1] / both.sum(axis=1), pairs, log_z
+    return both[:, 1] / np.maximum(both.sum(axis=1), 1e-300), pairs, log_z
 
 
 def _laid(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray, list[int]]:
@@ -141,10 +130,9 @@ def fit_chain(texts: list[list[str]], toxic: frozenset[str], rounds: int = 80, r
     Features of fewer than ``seen_often`` tokens are left out, so that the
     common ones learn what an unknown word is like.
     """
-    chain = Chain()
     texts = [t for t in texts if t]
     if not texts:
-        return chain
+        return Chain()
     flat, first, sizes, _ = _laid(texts)
     gold = np.array([not toxic.isdisjoint(units(w)) for w in flat], float)
     inner = np.ones(len(flat), bool)
@@ -153,35 +141,35 @@ def fit_chain(texts: list[list[str]], toxic: frozenset[str], rounds: int = 80, r
     tally = Counter(f for w, n in Counter(flat).items() for f in features(w) for _ in range(min(n, seen_often)))
     tally.update(f"before={flat[i - 1]}" for i in places)
     tally.update(f"after={flat[i]}" for i in places)
-    chain.index = {f: i for i, f in enumerate(sorted(f for f, n in tally.items() if n >= seen_often))}
-    width = len(chain.index) + 1
-    chain.emit = np.zeros(width)
-    own = np.array([[chain.slot(f) for f in features(w)] for w in flat])
-    before = np.array([chain.slot(f"before={flat[i - 1]}") for i in places], np.int64)
-    after = np.array([chain.slot(f"after={flat[i]}") for i in places], np.int64)
+    index = {f: i for i, f in enumerate(sorted(f for f, n in tally.items() if n >= seen_often))}
+    width = len(index) + 1  # the last place is for features left out
+    emit, moves = np.zeros(width), np.zeros((2, 2))
+    own = np.array([[index.get(f, width - 1) for f in features(w)] for w in flat])
+    before = np.array([index.get(f"before={flat[i - 1]}", width - 1) for i in places], np.int64)
+    after = np.array([index.get(f"after={flat[i]}", width - 1) for i in places], np.int64)
     place = np.array(places, np.int64)
     kinds = gold.astype(int)
     seen = np.zeros((2, 2))
     np.add.at(seen, (kinds[place - 1], kinds[place]), 1)
     square, square_moves = np.full(width, 1e-6), np.full((2, 2), 1e-6)
     for _ in range(rounds):
-        score = chain.emit[own].sum(axis=1)
-        score[place] += chain.emit[before]
-        score[place - 1] += chain.emit[after]
-        p, pairs, _ = marginals(score, first, sizes, chain.moves)
+        score = emit[own].sum(axis=1)
+        score[place] += emit[before]
+        score[place - 1] += emit[after]
+        p, pairs, _ = marginals(score, first, sizes, moves)
         gap = (gold - p) / len(texts)
         step = np.zeros(width)
         for column in range(own.shape[1]):
             step += np.bincount(own[:, column], gap, width)
         step += np.bincount(before, gap[place], width) + np.bincount(after, gap[place - 1], width)
-        step -= l2 * chain.emit / len(texts)
-        moved = (seen - pairs) / len(texts) - l2 * chain.moves / len(texts)
+        step -= l2 * emit / len(texts)
+        moved = (seen - pairs) / len(texts) - l2 * moves / len(texts)
         square += step ** 2
         square_moves += moved ** 2
-        chain.emit += rate * step / np.sqrt(square)
-        chain.emit[-1] = 0.0
-        chain.moves += rate * moved / np.sqrt(square_moves)
-    return chain
+        emit += rate * step / np.sqrt(square)
+        emit[-1] = 0.0
+        moves += rate * moved / np.sqrt(square_moves)
+    return Chain({f: float(emit[i]) for f, i in index.items()}, moves)
 
 
 def cover(toxic_docs: list[set[str]], counts: dict[str, tuple[int, int]], purity: float, support: int) -> frozenset[str]:
@@ -212,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     """Fit on about ``sample_rows`` labelled documents, drawn by a hash of the id.
 
     Null labels, ids and texts teach nothing; repeated labels of a document
-    count once each way.  From the sample, at most ``sentences_of_each``
+    count once each way.  From the sample, about ``sentences_of_each``
     sentences with and without inferred toxic words are used.  Both are bounds
     of the fit only.  Without toxic examples every score is 0.
     """
@@ -220,7 +208,8 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
               .groupBy(F.col(id).alias("id")).agg(F.max(label).cast("int").alias("y")))
     share = min(1.0, sample_rows / max(1, marked.count()))
     drawn = marked.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
+    rows = written(docs.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text"))
+                   .join(F.broadcast(drawn), "id").select("text", "y"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bad, good = Counter(), Counter()
@@ -257,44 +246,54 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
             hit = [any(not toxic.isdisjoint(units(w)) for w in s) for s in parts]
             yield pa.record_batch({"hit": pa.array(hit, pa.bool_()), "words": pa.array([s[:200] for s in parts], pa.list_(pa.string()))})
 
-    drawn_sentences = rows.select("text").mapInArrow(examples, "hit boolean, words array<string>")
-    picked = [list(r.words) for hit in (True, False) for r in
-              drawn_sentences.where(F.col("hit") == hit).orderBy(F.xxhash64("words"), "words").limit(sentences_of_each).collect()]
+    parts = written(rows.select("text").mapInArrow(examples, "hit boolean, words array<string>"), "sentences")
+    picked = []
+    for hit, n in sorted((r.hit, r["count"]) for r in parts.groupBy("hit").count().collect()):
+        chance = F.pmod(F.xxhash64(F.lit(seed), "words"), F.lit(1 << 30)) < int(min(1.0, sentences_of_each / n) * (1 << 30))
+        picked += [list(r.words) for r in parts.where((F.col("hit") == hit) & chance).select("words").collect()]
+    picked.sort()
     return fit_chain(picked, toxic)
 
 
 def _judge(chain: Chain, texts: list[str | None], spans: bool) -> pd.DataFrame:
-    split = [sentences(t) for t in texts]
-    owner = np.array([i for i, ss in enumerate(split) for _ in ss], np.int64)
-    flat, first, sizes, order = _laid([s for ss in split for s in ss])
-    log_clean, most = np.zeros(len(texts)), np.zeros(len(texts))
-    toxic_at: dict[int, list[tuple[int, float]]] = {}
-    if flat:
-        p, _, _ = marginals(chain.scores(flat, first, sizes), first, sizes, chain.moves)
-        start = np.zeros(len(order), np.int64)  # tokens of the document before each sentence
-        lengths = np.zeros(len(order), np.int64)
-        lengths[order] = sizes
-        total = np.concatenate([[0], np.cumsum(lengths)])
-        begins = np.searchsorted(owner, np.arange(len(texts)), side="left")
-        start = total[:-1] - total[begins[owner]]
-        sentence = np.repeat(np.array(order), sizes)
-        of_token = owner[sentence]
-        np.maximum.at(most, of_token, p)
-        suspicious = np.nonzero(p >= SPAN_AT)[0]
-        np.add.at(log_clean, of_token[suspicious], np.log1p(-np.minimum(p[suspicious], 1 - 1e-12)))
-        if spans:
-            where = np.arange(len(flat)) - np.repeat(first, sizes)
-            for k in suspicious.tolist():
-                s = sentence[k]
-                toxic_at.setdefault(int(owner[s]), []).append((int(start[s] + where[k]), float(p[k])))
+    flat: list[str] = []
+    ends = []
+    for text in texts:
+        if text:
+            flat += _TOKEN.findall(text.lower())
+        flat.append("\n")
+        ends.append(len(flat))
+    known = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+    stop = np.isin(at, [known[x] for x in _STOPS if x in known])
+    edge = np.concatenate([[True], stop])
+    first = np.nonzero(edge[:-1] & ~stop)[0]
+    sizes = np.searchsorted(np.nonzero(stop)[0], first, side="left")
+    sizes = np.nonzero(stop)[0][sizes] - first
+    order = np.argsort(-sizes, kind="stable")
+    first, sizes = first[order], sizes[order]
+    inner = np.nonzero(~stop & ~edge[:-1])[0]
+    p = np.zeros(len(flat))
+    if len(first) and chain.weights:
+        p, _, _ = marginals(chain.scores(list(known), at, inner), first, sizes, chain.moves)
+        p[stop] = 0.0
+    del flat, at
+    owner = np.repeat(np.arange(len(texts)), np.diff([0, *ends]))
+    most, log_clean = np.zeros(len(texts)), np.zeros(len(texts))
+    np.maximum.at(most, owner, p)
+    suspicious = np.nonzero(p >= SPAN_AT)[0]
+    np.add.at(log_clean, owner[suspicious], np.log1p(-np.minimum(p[suspicious], 1 - 1e-12)))
     out = {"score": np.clip(np.maximum(1 - np.exp(log_clean), most), 0, 1)}
     if spans:
-        words = re.compile(r"[^\W_]+")
-        listed = []
-        for i, text in enumerate(texts):
-            at = dict(toxic_at.get(i, ()))
-            spots = [m.span() for m in words.finditer(text.lower())] if at else []
-            listed.append([{"start": spots[k][0], "end": spots[k][1], "p": p_k} for k, p_k in sorted(at.items())])
+        listed: list[list[dict]] = [[] for _ in texts]
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if ends else np.zeros(0, np.int64)
+        spots, of = [], -1
+        for k in suspicious.tolist():
+            i = int(owner[k])
+            if i != of:
+                spots, of = [m.span() for m in _TOKEN.finditer(texts[i].lower())], i
+            a, b = spots[k - int(begins[i])]
+            listed[i].append({"start": a, "end": b, "p": float(p[k])})
         out["spans"] = listed
     return pd.DataFrame(out)
 
@@ -311,6 +310,8 @@ def score(docs: DataFrame, chain: Chain, text: str = "text", spans: bool = True)
 
     @F.pandas_udf(SPANS if spans else RESULT)
     def judged(texts: pd.Series) -> pd.DataFrame:
-        return _judge(shared.value, [t if isinstance(t, str) else None for t in texts], spans)
+        values = [t if isinstance(t, str) else None for t in texts]
+        parts = [_judge(shared.value, values[a:b], spans) for a, b in bounded(values, BATCH_CHARS)]
+        return pd.concat(parts, ignore_index=True)
 
     return docs.withColumn("_judged", judged(text)).select(*docs.columns, "_judged.*")
