@@ -52,13 +52,15 @@ def task_rank(status: Column) -> Column:
             .when(status == "PAUSED", 2).otherwise(3))
 
 
-def task_list(tasks: DataFrame, active_first: bool, limit: int = 500, offset: int = 0,
+def task_list(tasks: DataFrame, active_first: bool, limit: int, offset: int = 0,
               **equal: object) -> DataFrame:
-    """A page of tasks; the limit is the feature and is at most 500."""
+    """A page of tasks; the page size is the feature and may be at most 500."""
+    if not 0 < limit <= 500:
+        raise ValueError(f"a page holds 1 to 500 tasks, not {limit}")
     for name, value in equal.items():
         tasks = tasks.where(_c(name) == F.lit(value))
     first = [task_rank(_c("status"))] if active_first else []
-    return tasks.orderBy(*first, F.desc("created_us"), F.desc("task_id")).offset(offset).limit(min(limit, 500))
+    return tasks.orderBy(*first, F.desc("created_us"), F.desc("task_id")).offset(offset).limit(limit)
 
 
 def status_by_ids(requests: DataFrame, tasks: DataFrame) -> DataFrame:

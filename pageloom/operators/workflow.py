@@ -89,7 +89,15 @@ def review_tiles(pages: DataFrame, evidence: DataFrame, max_side: int = 1600, ma
              .withColumn("th", F.least("side", _c("height") - _c("ty"))))
     lo_x, lo_y = F.greatest("x", "tx"), F.greatest("y", "ty")
     hi_x, hi_y = F.least(_c("x") + _c("w"), _c("tx") + _c("tw")), F.least(_c("y") + _c("h"), _c("ty") + _c("th"))
-    clipped = tiles.join(seen, "image_id").where((hi_x > lo_x) & (hi_y > lo_y)).select(
+    # a crop meets the tiles of its own index range (and the last ones, which are moved inside), not all of the page
+    reach = lambda low, size, n: F.array_union(F.sequence(
+        F.least(_c(n) - 1, F.greatest(F.lit(0), F.floor((_c(low) - _c("side")) / _c("step")))),
+        F.least(_c(n) - 1, F.greatest(F.lit(0), F.floor((_c(low) + _c(size)) / _c("step"))))), F.array(_c(n) - 1))
+    met = (seen.join(grid.where(_c("cols") * _c("rows") <= max_tiles), "image_id")
+           .withColumn("j", F.explode(reach("y", "h", "rows"))).withColumn("i", F.explode(reach("x", "w", "cols")))
+           .withColumn("tx", at("i", "width")).withColumn("ty", at("j", "height"))
+           .withColumn("tw", F.least("side", _c("width") - _c("tx"))).withColumn("th", F.least("side", _c("height") - _c("ty"))))
+    clipped = met.where((hi_x > lo_x) & (hi_y > lo_y)).select(
         "image_id", "tx", "ty", lo_x.alias("x"), lo_y.alias("y"), (hi_x - lo_x).alias("w"), (hi_y - lo_y).alias("h"))
     covered = union_area(clipped, ["image_id", "tx", "ty"])
     open_ = (tiles.join(covered, ["image_id", "tx", "ty"], "left")
