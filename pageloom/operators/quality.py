@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.core import grid
 from pageloom.functions import text as X
+from pageloom.operators.frames import frame_overlap_join
 
 OCR_THRESHOLD = 0.65
 ISSUE_COLUMNS = ["project_id", "image_id", "region_id", "code", "severity"]
@@ -135,13 +136,20 @@ def task_findings(tasks: DataFrame) -> DataFrame:
         F.lit("error").alias("severity"))
 
 
-def all_findings(regions: DataFrame, pages: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Region, pair and task findings together, without their project."""
-    return (region_findings(regions, pages).unionByName(overlap_findings(regions)).unionByName(task_findings(tasks)))
+def frame_findings(frames: DataFrame) -> DataFrame:
+    """Overlaps of translated frames (image_id, region_id, seq, polygon)."""
+    return frame_overlap_join(frames).select("image_id", F.col("first_id").alias("region_id"),
+                                             F.lit("translation_overlap").alias("code"), F.lit("warning").alias("severity"))
 
 
-def all_issues(regions: DataFrame, pages: DataFrame, tasks: DataFrame) -> DataFrame:
-    return with_project(all_findings(regions, pages, tasks), pages)
+def all_findings(regions: DataFrame, pages: DataFrame, tasks: DataFrame, frames: DataFrame) -> DataFrame:
+    """Region, pair, frame and task findings together, without their project."""
+    return (region_findings(regions, pages).unionByName(overlap_findings(regions)).unionByName(frame_findings(frames))
+            .unionByName(task_findings(tasks)))
+
+
+def all_issues(regions: DataFrame, pages: DataFrame, tasks: DataFrame, frames: DataFrame) -> DataFrame:
+    return with_project(all_findings(regions, pages, tasks, frames), pages)
 
 
 def review_rollup(regions: DataFrame, issues: DataFrame) -> DataFrame:

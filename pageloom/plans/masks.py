@@ -221,11 +221,8 @@ def _j04(t):
 
 @query("r25_translation_overlap")
 def _r25(t):
-    from pageloom.operators.frames import frame_overlap_join
-    from pageloom.operators.quality import with_project
-    found = frame_overlap_join(_text_frames(t)).select("image_id", _c("first_id").alias("region_id"), F.lit("translation_overlap").alias("code"),
-                                                       F.lit("warning").alias("severity"))
-    return with_project(found, t.image_pages)
+    from pageloom.operators.quality import frame_findings, with_project
+    return with_project(frame_findings(_text_frames(t)), t.image_pages)
 
 
 def _text_frames(t):
