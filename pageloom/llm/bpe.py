@@ -16,16 +16,22 @@ import base64
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pageloom.llm.batches import bounded
+
 #: Characters before a chunk's end whose boundaries may still change with what follows.
 LOOKAHEAD = 8
-#: Pieces remembered by a task before it starts anew.
-MEMO = 200_000
+#: Pieces remembered in each of two generations by a worker.
+MEMO = 80_000
+#: Characters of text that a task works on at a time.
+BATCH_CHARS = 2_000_000
 #: Largest vocabulary that is broadcast (entries); larger ones are refused.
 MAX_RANKS = 1_000_000
 
@@ -46,8 +52,10 @@ class Encoder:
         import regex
 
         self.ranks = ranks
+        self.table = pa.array(token_table(ranks), pa.large_binary())
         self.pattern = regex.compile(pattern)
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Repeatedly join the adjacent pair of lowest rank, leftmost first."""
@@ -56,16 +64,17 @@ class Encoder:
             return (ranks[piece],)
         if len(piece) > 500:
             return self._merge_long(piece)
+        get, none = ranks.get, MAX_RANKS
         parts = [piece[i:i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = ranks.get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        pairs = [get(piece[i:i + 2], none) for i in range(len(piece) - 1)]
+        while pairs and (lowest := min(pairs)) < none:
+            i = pairs.index(lowest)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
         return tuple(ranks[p] for p in parts)
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
@@ -114,19 +123,13 @@ class Encoder:
         return self.encode_pieces(pieces)
 
     def encode_pieces(self, pieces: list[str]) -> list[int]:
-        memo = self.memo
-        for p in pieces:
-            if p not in memo:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                    return self._plain(pieces)
-                memo[p] = self.merge(p.encode("utf-8", "replace"))
+        if len(self.memo) > MEMO:  # what is still in use comes over from the older half
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older.get
+        for p in set(pieces).difference(memo):
+            memo[p] = older(p) or self.merge(p.encode("utf-8", "replace"))
         return list(chain.from_iterable(map(memo.__getitem__, pieces)))
 
-    def _plain(self, pieces: list[str]) -> list[int]:
-        once = {p: self.merge(p.encode("utf-8", "replace")) for p in set(pieces)}
-        return list(chain.from_iterable(map(once.__getitem__, pieces)))
-
 
 def cut_points(length: int, chunk_chars: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of overlapping chunks that cover ``length`` characters."""
@@ -134,18 +137,54 @@ def cut_points(length: int, chunk_chars: int, overlap: int) -> list[tuple[int, i
     return [(a, min(a + chunk_chars, length)) for a in range(0, max(length - overlap, 1), step)]
 
 
+#: A worker's encoders by vocabulary and pattern; what they remember serves its later tasks.
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
 def _encoder_of(spark: SparkSession, ranks_path: str, pattern: str):
     shared = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    made: list[Encoder] = []
 
     def get() -> Encoder:
-        if not made:
-            made.append(Encoder(shared.value, pattern))
-        return made[0]
+        return worker_encoder(ranks_path, pattern, shared)
 
     return get
 
 
+def worker_encoder(ranks_path: str, pattern: str, shared) -> Encoder:
+    key = ranks_path, pattern
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(shared.value, pattern)
+    return _ENCODERS[key]
+
+
+def token_table(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """Token bytes by id."""
+    table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
+def bytes_of_lists(given: pa.Array, vocabulary: pa.Array) -> pa.Array:
+    """The tokens' bytes of each list of ids, end to end; null lists stay null."""
+    out = []
+    for part in (given.slice(at, 512) for at in range(0, len(given), 512)):
+        tokens = vocabulary.take(part.flatten())
+        edges = np.frombuffer(tokens.buffers()[1], np.int64)[:len(tokens) + 1] if len(tokens) else np.zeros(1, np.int64)
+        ends = np.cumsum([0] + [0 if n is None else n for n in pc.list_value_length(part).to_pylist()])
+        cut, blob = edges[ends].tolist(), tokens.buffers()[2]
+        whole = blob.to_pybytes() if blob is not None else b""
+        out += [whole[a:b] if known else None for a, b, known in zip(cut, cut[1:], part.is_valid().to_pylist())]
+    return pa.array(out, pa.binary())
+
+
+def lists(rows: list[list[int]]) -> pa.ListArray:
+    """Arrow lists of 32-bit ids."""
+    offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+
 def _long_ids(texts: DataFrame, get, pattern: str, chunk_chars: int, overlap: int) -> DataFrame:
     """(h1, h2, ids) of distinct long texts (h1, h2, t)."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,13 +205,14 @@ def _long_ids(texts: DataFrame, get, pattern: str, chunk_chars: int, overlap: in
             tails.append([start + e for e in ends if len(part) - overlap <= e <= len(part) - LOOKAHEAD])
         return pd.DataFrame({"head": heads, "tail": tails})
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode_between(parts: pd.Series, begins: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([get().ids_between(p, int(a), int(b)) for p, a, b in zip(parts, begins, ends)], dtype=object)
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode_between(parts: pa.Array, begins: pa.Array, ends: pa.Array) -> pa.Array:
+        given = zip(parts.to_pylist(), begins.to_pylist(), ends.to_pylist())
+        return lists([get().ids_between(p, a, b) for p, a, b in given])
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode_whole(whole: pd.Series) -> pd.Series:
-        return pd.Series([get().ids(t) for t in whole], dtype=object)
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode_whole(whole: pa.Array) -> pa.Array:
+        return lists([get().ids(t) for t in whole.to_pylist()])
 
     chunks = (texts.mapInArrow(cut, "h1 long, h2 long, no int, start long, last boolean, part string")
               .repartition("h1", "h2", "no").withColumn("met", meet("start", "part")))
@@ -192,39 +232,47 @@ def _long_ids(texts: DataFrame, get, pattern: str, chunk_chars: int, overlap: in
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids",
-           chunk_chars: int = 1 << 16, overlap: int = 1 << 10) -> DataFrame:
+           chunk_chars: int = 1 << 16, overlap: int = 1 << 10, decoded: str | None = None) -> DataFrame:
     """``docs`` with the token ids of the whole text; null and empty texts get an empty list.
 
-    Repeated rows are encoded alike; a column named as ``ids`` is replaced.
-    Lone surrogates cannot occur in Spark strings.
+    With ``decoded``, a column of that name holds the bytes that the ids decode
+    to, made in the same pass.  Repeated rows are encoded alike; columns of
+    these names are replaced.  Lone surrogates cannot occur in Spark strings.
     """
     if overlap + LOOKAHEAD >= chunk_chars:
         raise ValueError("the overlap must be smaller than a chunk")
-    docs = docs.drop(ids)
+    docs = docs.drop(ids, *([decoded] if decoded else []))
     get = _encoder_of(docs.sparkSession, ranks_path, pattern)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode_text(texts: pd.Series) -> pd.Series:
-        return pd.Series([get().ids(t) for t in texts], dtype=object)
-
+    @F.arrow_udf("ids array<int>, bytes binary" if decoded else "ids array<int>")
+    def encode_text(texts: pa.Array) -> pa.Array:
+        encoder, values, parts = get(), texts.to_pylist(), []
+        for a, b in bounded(values, BATCH_CHARS):
+            coded = lists([encoder.ids(t) for t in values[a:b]])
+            parts.append(pa.StructArray.from_arrays([coded, bytes_of_lists(coded, encoder.table)][:2 if decoded else 1],
+                                                    ["ids", "bytes"][:2 if decoded else 1]))
+        return pa.concat_arrays(parts)
+
+    # declared non-deterministic so that using its fields doesn't encode twice
+    encode_once = encode_text.asNondeterministic()
     size = F.coalesce(F.char_length(docs[text]), F.lit(0))
-    short = docs.where(size <= chunk_chars).withColumn(ids, encode_text(text))
+    fields = [F.col("_coded.ids").alias(ids)] + ([F.col("_coded.bytes").alias(decoded)] if decoded else [])
+    short = docs.where(size <= chunk_chars).withColumn("_coded", encode_once(text)).select(*docs.columns, *fields)
     long = (docs.where(size > chunk_chars).withColumn("_h1", F.xxhash64(text))
             .withColumn("_h2", F.xxhash64(F.lit("text"), text)))
     texts = long.groupBy(F.col("_h1").alias("h1"), F.col("_h2").alias("h2")).agg(F.first(text).alias("t"))
     coded = _long_ids(texts, get, pattern, chunk_chars, overlap).withColumnRenamed("ids", "_ids")
     joined = long.join(coded, (long["_h1"] == coded["h1"]) & (long["_h2"] == coded["h2"]))
-    return short.unionByName(joined.select(*docs.columns, F.col("_ids").alias(ids)))
+    joined = joined.select(*docs.columns, F.col("_ids").alias(ids))
+    return short.unionByName(joined.withColumn(decoded, decode(docs.sparkSession, ids, ranks_path)) if decoded else joined)
 
 
 def decode(spark: SparkSession, ids: Column | str, ranks_path: str) -> Column:
     """The raw bytes of a list of ids, token after token; null gives null."""
-    shared = spark.sparkContext.broadcast({rank: token for token, rank in load_ranks(ranks_path).items()})
+    shared = spark.sparkContext.broadcast(token_table(load_ranks(ranks_path)))
 
-    @F.pandas_udf(T.BinaryType())
-    def tokens(lists: pd.Series) -> pd.Series:
-        token = shared.value.__getitem__
-        return pd.Series([None if x is None else b"".join(map(token, x if isinstance(x, list) else x.tolist()))
-                          for x in lists], dtype=object)
+    @F.arrow_udf(T.BinaryType())
+    def tokens(given: pa.Array) -> pa.Array:
+        return bytes_of_lists(given, pa.array(shared.value, pa.large_binary()))
 
     return tokens(ids)

@@ -73,9 +73,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
-    both = coded.select("doc_id", "ids", bpe.decode(spark, "ids", ranks).alias("decoded"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+    coded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

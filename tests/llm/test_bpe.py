@@ -27,12 +27,12 @@ def test_as_the_library_and_back(spark):
     docs = spark.createDataFrame([(i, t, 1, "c") for i, t in enumerate(texts())] + [(3, "Hello world", 1, "c")],
                                  "doc_id long, text string, ids int, part string")
     for size, overlap in ((1 << 16, 1 << 10), (256, 64), (64, 32)):
-        coded = bpe.encode(docs, RANKS, PATTERN, chunk_chars=size, overlap=overlap)
+        coded = bpe.encode(docs, RANKS, PATTERN, chunk_chars=size, overlap=overlap, decoded="part")
         rows = coded.withColumn("back", bpe.decode(spark, "ids", RANKS)).collect()
         assert len(rows) == len(texts()) + 1
         for r in rows:
             assert list(r.ids) == other.encode_ordinary(r.text or ""), (size, r.doc_id)
-            assert bytes(r.back) == (r.text or "").encode()
+            assert bytes(r.back) == bytes(r.part) == (r.text or "").encode()
     assert bpe.encode(docs.where(F.lit(False)), RANKS, PATTERN).count() == 0
 
 
@@ -42,5 +42,5 @@ def test_long_pieces_and_forgetting():
     for n in (501, 700, 2500):
         piece = "".join(rng.choices("abcdeé", k=n))
         assert list(own.merge(piece.encode())) == other.encode_ordinary(piece)
-    own.memo = {str(i): () for i in range(bpe.MEMO)}
+    own.memo = {str(i): (i,) for i in range(bpe.MEMO + 1)}
     assert own.ids("some new words") == other.encode_ordinary("some new words")
