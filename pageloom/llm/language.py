@@ -42,7 +42,7 @@ SCRIPTS = {
 }
 UNKNOWN = "und"
 #: Characters of text that a task works on at a time.
-BATCH_CHARS = 5_000_000
+BATCH_CHARS = 3_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 RESULT = "lang_pred string, score double"
 SPANS = RESULT + ", spans array<struct<start:int,end:int,lang:string>>"
