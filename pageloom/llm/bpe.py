@@ -28,7 +28,7 @@ from pageloom.llm.batches import bounded
 
 #: Characters before a chunk's end whose boundaries may still change with what follows.
 LOOKAHEAD = 8
-#: Pieces remembered in each of two generations by a worker.
+#: Pieces remembered in each of two generations by a task.
 MEMO = 80_000
 #: Characters of text that a task works on at a time.
 BATCH_CHARS = 2_000_000
@@ -137,26 +137,19 @@ def cut_points(length: int, chunk_chars: int, overlap: int) -> list[tuple[int, i
     return [(a, min(a + chunk_chars, length)) for a in range(0, max(length - overlap, 1), step)]
 
 
-#: A worker's encoders by vocabulary and pattern; what they remember serves its later tasks.
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def _encoder_of(spark: SparkSession, ranks_path: str, pattern: str):
+    """One encoder per task: what it remembers is freed with the task, not kept by a reused worker."""
     shared = spark.sparkContext.broadcast(load_ranks(ranks_path))
+    made: list[Encoder] = []
 
     def get() -> Encoder:
-        return worker_encoder(ranks_path, pattern, shared)
+        if not made:
+            made.append(Encoder(shared.value, pattern))
+        return made[0]
 
     return get
 
 
-def worker_encoder(ranks_path: str, pattern: str, shared) -> Encoder:
-    key = ranks_path, pattern
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(shared.value, pattern)
-    return _ENCODERS[key]
-
-
 def token_table(ranks: dict[bytes, int]) -> list[bytes | None]:
     """Token bytes by id."""
     table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
