@@ -68,11 +68,30 @@ class Page(HTMLParser):
         self.tags, self.parents, self.names, self.truth = ["#page"], [-1], [frozenset()], [None]
         self.flow: list[tuple[int, str]] = []
         self.open = [0]
-        try:
-            self.feed(html or "")
-            self.close()
-        except AssertionError:  # a malformed declaration ends the parse; what came before stands
-            pass
+        self.feed(html or "")
+        self.close()
+        self._free_forms()
+
+    def parse_html_declaration(self, i):
+        """As browsers do: outside of foreign elements ``<![`` begins a comment that ends at the next ``>``."""
+        if self.rawdata.startswith("<![", i):
+            if self.rawdata.startswith("<![CDATA[", i) and any(self.tags[k] in ("svg", "math") for k in self.open):
+                end = self.rawdata.find("]]>", i)
+                return end + 3 if end >= 0 else -1
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
+
+    def _free_forms(self) -> None:
+        """A form around most of the page's visible text is its frame, as in pages that are one form: it counts as a ``div``."""
+        if "form" not in self.tags:
+            return
+        hidden, size = self.hidden(), [0] * len(self.tags)
+        for node, text in self.flow:
+            if node >= 0 and not hidden[node]:
+                size[node] += len("".join(text.split()))
+        for i in range(len(self.tags) - 1, 0, -1):
+            size[self.parents[i]] += size[i]
+        self.tags = ["div" if tag == "form" and 2 * n > size[0] else tag for tag, n in zip(self.tags, size)]
 
     def _leave(self, until: int) -> None:
         while len(self.open) > until:

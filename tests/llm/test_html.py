@@ -76,3 +76,25 @@ def test_trees_learn_a_rule():
     y = ((x[:, 1] > 0.3) ^ (x[:, 3] < -0.2)).astype(float)
     model = html.boost(x[:3000], y[:3000], np.ones(3000))
     assert np.mean((model.odds(x[3000:]) > 0) == y[3000:]) > 0.97
+
+
+def test_marked_sections_are_comments(model):
+    def whole(source):
+        page = html.Page(source)
+        return html.text_of(page, [True] * len(page.tags))
+
+    assert whole("<p>a</p><![foo]><p>body text</p>") == "a body text"
+    assert whole("<p>see <![1] note</p><p>c</p>") == "see c"
+    assert whole("<p>a</p><![if x><p>b</p><![endif]><p>c</p><![CDATA[d>e]]>") == "a b c e]]>"
+    assert whole("<p>a</p><svg><![CDATA[x>y]]></svg><p>b</p>") == "a b"
+    assert whole("a <![foo") == "a <![foo"
+    words = "Enough ordinary words, to read here. " * 8
+    page = "<html><head>{}</head><body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>" + words + "</p>{}<p>" + words + "</p></article></body></html>"
+    assert html.main_texts(model, [page.format("<![1]>", "<![2 x]>")]) == html.main_texts(model, [page.format("", "")]) == [f"Title {words}{words.strip()}"]
+
+
+def test_page_inside_a_form(model):
+    words = "Enough ordinary words, to read here. " * 8
+    page = ("<html><body><{0} id=aspnet><nav><a href=x>Home</a></nav><div class=content><h1>Title</h1><p>" + words + "</p><p>" + words
+            + "</p><form><p>your mail</p></form></div><footer>end</footer></{0}></body></html>")
+    assert html.main_texts(model, [page.format("form")]) == html.main_texts(model, [page.format("div")]) == [f"Title {words}{words.strip()}"]
