@@ -64,3 +64,25 @@ def test_learned_scores_and_offsets(spark):
     assert toxicity.score(odd.where(F.lit(False)), chain).count() == 0
     blind = toxicity.learn(docs, labels.where(F.lit(False)))
     assert not blind.weights and toxicity.score(docs, blind, spans=False).where("score > 0.5").count() == 0
+
+
+def test_support_comes_from_evidence():
+    assert toxicity.least_support(880, 7120, 30) == 7 and toxicity.least_support(500, 500, 30) == 22
+    assert toxicity.least_support(0, 9, 30) is None and toxicity.least_support(9, 0, 30) is None
+    assert toxicity.ratio(7, 0, 880, 7120) > 30 > toxicity.ratio(6, 0, 880, 7120) and abs(toxicity.ratio(11, 89, 11, 89)) < 1e-9
+
+
+def test_long_tailed_words_are_found(spark):
+    rng = random.Random(12)
+    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    vile = ["".join(rng.choice("bcdfgklmnprstz") + rng.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    rows = []
+    for i in range(6000):
+        words = rng.choices(plain, k=rng.randint(5, 30))
+        if i % 5 == 0:  # each of the 60 words in about 2 % of the toxic documents
+            words.insert(rng.randrange(len(words)), rng.choice(vile))
+        rows.append((i, " ".join(words) + ".", int(i % 5 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:5000]], "doc_id long, toxic int")
+    got = toxicity.score(docs.where("doc_id >= 5000"), toxicity.learn(docs, labels)).collect()
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 5 == 0) for r in got]) > 0.97
