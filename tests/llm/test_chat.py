@@ -41,3 +41,22 @@ def test_twin(spark, duck):
     names = sorted(frame.columns)
     got = sorted(map(tuple, frame.select(*names).collect()))
     assert got == sorted(duck.execute(f"select {', '.join(names)} from ({chat.ORACLE})").fetchall())
+
+
+def test_crowded_turns_are_cut(spark):
+    """Null conversations, tied and null turns: parts stay bounded and join to the whole dialogue."""
+    rows = [(None, i % 3, "ab"[i % 2], f"m{i // 2 % 40}") for i in range(500)] + [(None, 700, "a", "late"), (None, None, "b", "early")]
+    rows += [(5, None, "ann", "same")] * 90 + [(5, 3, "bob", f"x{i}") for i in range(45)] + [(5, 300, "ann", "end"), (6, 0, "ann", "calm"), (6, 600, "bob", "x")]
+    talk = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {}
+    for (c, who, part), (text, mask, n) in sorted(by_hand(rows, 256).items(), key=lambda x: (str(x[0][0]), x[0][1], x[0][2])):
+        old, marks, count = whole.get((c, who), ("", [], 0))
+        whole[c, who] = (old + text, marks + [(a + len(old), b + len(old)) for a, b in mask], count + n)
+    got, sizes = {}, []
+    for r in sorted(chat.rotate(talk, most=16).collect(), key=lambda r: r.part):
+        old, marks, count = got.get((r.conv_id, r.perspective), ("", [], 0))
+        got[r.conv_id, r.perspective] = (old + r.text, marks + [(m.start + len(old), m.end + len(old)) for m in r["mask"]], count + r.n_turns)
+        sizes.append((r.conv_id, r.perspective, r.part))
+        assert r.n_turns <= 16
+    assert got == whole and len(set(sizes)) == len(sizes)
+    assert [p for c, w, p in sizes if (c, w) == (6, "ann")] == [0, 2]
