@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, chat, decontam, html, language, lines, quality, sharding, simhash, toxicity
+from pageloom.llm import bpe, chat, decontam, html, language, lines, packing, quality, sharding, simhash, toxicity
 from pageloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -90,3 +90,9 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     trusted = table(spark, folder, "labels").where("quality = 1")
     return quality.judge(table(spark, folder, "documents"), trusted)
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end=2)
