@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, chat, decontam, html, language, lines, packing, quality, sharding, simhash, toxicity
+from pageloom.llm import bpe, chat, decontam, html, language, lines, packing, quality, search, sharding, simhash, toxicity
 from pageloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -96,3 +96,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end=2)
+
+
+@query("op13_search", search.ORACLE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
