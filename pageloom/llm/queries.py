@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm import bpe, chat, decontam, html, language, lines, packing, quality, search, sharding, simhash, toxicity
+from pageloom.llm import (bpe, chat, decontam, html, language, lines, packing, prefixes, quality, search, sharding, simhash,
+                          toxicity)
 from pageloom.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -98,6 +99,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end=2)
 
 
+@query("op12_trie", prefixes.ORACLE)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return prefixes.conversation_trie(table(spark, folder, "conversations"))
+
+
 @query("op13_search", search.ORACLE)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
