@@ -18,6 +18,9 @@ gives no rows.  Other columns are not carried, so their names cannot clash.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -26,6 +29,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,39 +45,84 @@ PER_TASK = 1 << 15
 #: Pieces that are put in order of length before they arrive.
 WINDOW = 2048
 #: Pre-tokens remembered by a worker (twice as many while the older half is still used).
-MEMO = 200_000
+MEMO = 400_000
 BATCH_CHARS, RUN = 1_000_000, 100_000
+#: Latin letters end here.
+QUICK = 0x250
+
+
+class Remembered(dict):
+    """Ids of pre-tokens as little-endian unsigned 32-bit bytes, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            ids = self.make(piece)
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = found
+        return found
+
+    def age(self) -> None:
+        """Forget what was not used since the last time."""
+        if len(self) > MEMO:
+            self.older = dict(self)
+            self.clear()
+
+
+def merges_by_id(definition: dict) -> dict[bytes, int] | None:
+    """Token bytes by id, if the definition is byte-level and its merges run in order of id.
+
+    Then merging the pair of least id is the same as merging by the list.
+    """
+    model, before = definition["model"], definition["pre_tokenizer"] or {}
+    vocab, merges = model["vocab"], model["merges"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+    merged = [vocab.get(a + b) for a, b in pairs]
+    plain = (model["type"] == "BPE" and before.get("type") == "ByteLevel" and not before.get("add_prefix_space")
+             and not definition["normalizer"] and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+             and not model.get("dropout") and None not in merged and merged == sorted(merged)
+             and sorted(merged) == sorted(set(vocab.values()) - {vocab[t] for t in vocab if len(t) == 1}))
+    if not plain:
+        return None
+    # byte-level vocabularies write a byte as a printable character
+    shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]
+    byte = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(sorted(set(range(256)) - set(shown)))}
+    return {bytes(map(byte.__getitem__, token)): i for token, i in vocab.items() if set(token) <= byte.keys()}
 
 
 class Coder:
-    """Ids as little-endian unsigned 32-bit bytes, pre-token by pre-token."""
-
-    def __init__(self, definition: str, pattern: str):
-        self.tokenizer, self.pattern = Tokenizer.from_str(definition), regex.compile(pattern)
-        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
-        self.at_special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _coded(self, pieces: list[str]) -> bytes:
-        if len(self.memo) > MEMO:
-            self.older, self.memo = self.memo, {}
-        new = []
-        for p in set(pieces).difference(self.memo):
-            if p in self.older:
-                self.memo[p] = self.older[p]
-            else:
-                new.append(p)
-        for p, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.memo[p] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(self.memo.__getitem__, pieces))
+    """Token ids of texts, pre-token by pre-token."""
+
+    def __init__(self, definition: str, pattern: str, quick: tuple[str, str] | None = None):
+        known = json.loads(definition)
+        added = {t["content"]: t["id"] for t in known.get("added_tokens", [])}
+        ranks = merges_by_id(known | {"model": known["model"] | {"vocab": {
+            t: i for t, i in known["model"]["vocab"].items() if t not in added}}})
+        if ranks:
+            merged = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
+            make = lambda piece: merged.encode_single_piece(piece.encode())
+        else:
+            library = Tokenizer.from_str(definition)
+            make = lambda piece: library.encode(piece, add_special_tokens=False).ids
+        self.memo, self.pattern = Remembered(make), regex.compile(pattern)
+        self.special = {t: struct.pack("<I", i) for t, i in added.items()}
+        self.at_special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
+        self.quick = (re.compile(quick[0]), re.compile(quick[1])) if quick else None
 
     def _plain(self, text: str) -> bytes:
+        pattern = self.quick[0] if self.quick and not self.quick[1].search(text) else self.pattern
+        self.memo.age()
         if len(text) <= BATCH_CHARS:
-            return self._coded(self.pattern.findall(text))
-        matches = self.pattern.finditer(text)
-        return b"".join(self._coded(run) for run in iter(lambda: [m[0] for m in islice(matches, RUN)], []))
+            return b"".join(map(self.memo.__getitem__, pattern.findall(text)))
+        matches, out = pattern.finditer(text), []
+        while run := [m[0] for m in islice(matches, RUN)]:
+            self.memo.age()
+            out.append(b"".join(map(self.memo.__getitem__, run)))
+        return b"".join(out)
 
     def ids(self, text: str | None) -> bytes:
         """Ids of the whole text; the vocabulary's added tokens are found first, as its library does."""
@@ -85,16 +134,27 @@ class Coder:
         return b"".join(out)
 
 
-_coders: dict[tuple[int, str], Coder] = {}
+def quick_pattern(pattern: str) -> tuple[str, str] | None:
+    """``pattern`` for the faster standard library, and a class of characters that ask for the slower one.
+
+    The class holds all beyond ``QUICK`` and those before it that the two libraries see differently.
+    """
+    every, differ, out = "".join(map(chr, range(QUICK))), set(), pattern
+    for theirs, ours in ((r"[^\s\p{L}\p{N}]", r"(?:[^\s\w]|_)"), (r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s")):
+        differ.update(set(regex.findall(theirs, every)) ^ set(re.findall(ours, every)))
+        out = out.replace(theirs, ours)
+    return None if r"\p" in out else (out, f"[{chr(QUICK)}-{chr(0x10FFFF)}{''.join(map(re.escape, sorted(differ)))}]")
+
+
+_coders: dict[tuple, Coder] = {}
 
 
-def _coder(definition: str, pattern: str) -> Coder:
+def _coder(*given) -> Coder:
     """One per worker process, whose memory it bounds."""
-    key = zlib.crc32(definition.encode()), pattern
-    if key not in _coders:
+    if given not in _coders:
         _coders.clear()
-        _coders[key] = Coder(definition, pattern)
-    return _coders[key]
+        _coders[given] = Coder(*given)
+    return _coders[given]
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -110,12 +170,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, end: int, capacit
     ``pattern`` parts a text into the runs that the tokenizer's merges never cross.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+        shared = docs.sparkSession.sparkContext.broadcast((file.read(), pattern, quick_pattern(pattern)))
     given = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     last = np.array([end], "<u4").tobytes()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared.value, pattern)
+        coder = _coder(*shared.value)
         for batch in batches:
             texts = batch["text"].to_pylist()
             for a, b in bounded(texts, BATCH_CHARS):

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -96,6 +97,24 @@ def test_long_text_in_runs(monkeypatch):
     assert coder.ids(text) == at_once == np.array(Tokenizer.from_file(PATH).encode(text).ids, "<u4").tobytes()
 
 
+def test_merging_and_parting_as_the_libraries_do():
+    """Merges by id, the library's own, and both patterns give one result on texts of all scripts."""
+    with open(PATH, encoding="utf-8") as file:
+        definition = file.read()
+    quick, library = packing.quick_pattern(P.PATTERN), Tokenizer.from_str(definition)
+    known = json.loads(definition)
+    assert packing.merges_by_id(known | {"model": known["model"] | {"merges": known["model"]["merges"][::-1]}}) is None
+    draw = random.Random(9)
+    ranges = [(32, 127), (160, 600), (0x300, 0x700), (0x900, 0xE00), (0x2000, 0x2200), (0x2150, 0x2190), (0x3000, 0x9FFF), (0x1F300, 0x1F700)]
+    texts = ["".join(chr(draw.randint(*draw.choice(ranges[:1 + i % 8])) if draw.random() < 0.9 else draw.choice([32, 10, 9, 0x1C, 0x85]))
+                     for _ in range(200)) for i in range(200)] + ["it's we'll ''s 'S _a_ 1_2 \u00b2\u00bd\u2167 a\u0301b", "x<|endoftext|>y  "]
+    coders = [packing.Coder(definition, P.PATTERN), packing.Coder(definition, P.PATTERN, quick)]
+    for t in texts:
+        want = np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert [c.ids(t) for c in coders] == [want, want]
+    assert any(coders[1].quick[1].search(t) for t in texts) and not all(coders[1].quick[1].search(t) for t in texts)
+
+
 def test_repeated_rows_and_a_hot_null_id(spark):
     docs = spark.createDataFrame([(None, "the same text again")] * 300 + [(i, "word " * (i % 90)) for i in range(600)], "doc_id long, text string")
     packed = packing.pack_documents(docs, PATH, P.PATTERN, 2, capacity=128, per_task=200)
