@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.core.shared import written
+
 _c = F.col
 # Candidate angles in degrees and the thresholds of acceptance.
 COARSE, LIMIT, FINE_REACH, FINE_STEP = 3.0, 45.0, 3.0, 0.5
@@ -62,7 +64,9 @@ def _best(scores: DataFrame, keys: list[str]) -> DataFrame:
 def _candidates(points: DataFrame, key: str) -> DataFrame:
     """Scores of the coarse angles, and of finer ones around the three best of each direction."""
     both = (F.lit(False), F.lit(True))
-    coarse = projection_scores(points.withColumn("asked", _asked(_grid(-LIMIT, LIMIT, COARSE), *both)), [key])
+    # written once: it is read twice, and a union of two aggregates on one key would claim a partitioning that adaptive
+    # plans do not keep on both sides
+    coarse = written(projection_scores(points.withColumn("asked", _asked(_grid(-LIMIT, LIMIT, COARSE), *both)), [key]), "angles")
     peaks = coarse.groupBy(key, "vertical").agg(
         F.slice(F.sort_array(F.collect_list(F.struct("score", "angle")), asc=False), 1, 3).alias("_p"))
     around = F.flatten(F.transform("_p", lambda p: F.transform(

@@ -213,28 +213,6 @@ def _a32(t):
     return C.mask_parity(old, old.where("mask_id % 50 <> 0 or y % 2 = 0"))
 
 
-@query("j04_frame_overlap_join")
-def _j04(t):
-    from pageloom.operators.frames import frame_overlap_join
-    return frame_overlap_join(_text_frames(t))
-
-
-@query("r25_translation_overlap")
-def _r25(t):
-    from pageloom.operators.quality import frame_findings, with_project
-    return with_project(frame_findings(_text_frames(t)), t.image_pages)
-
-
-def _text_frames(t):
-    """Rotated quads of the shown translations; every fifth one is dented."""
-    r = t.text_regions.where("visible and trim(translated_text) <> ''")
-    x, y, w, h = _c("x"), _c("y"), _c("w"), _c("h")
-    quad = G.box_to_polygon(x, y, w, h)
-    dent = F.array(G.point(x, y), G.point(x + w, y), G.point(x + w / 2, y + h / 2), G.point(x + w, y + h), G.point(x, y + h))
-    turned = G.rotate_polygon(quad, x + w / 2, y + h / 2, _c("rotation").cast("double"))
-    return r.select("image_id", "region_id", _c("reading_order").alias("seq"), F.when(_c("font_size") % 5 == 0, dent).otherwise(turned).alias("polygon"))
-
-
 @query("a22_angle_search")
 def _a22(t):
     from pageloom.operators.angles import angle_search

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pageloom.functions import geometry as G
-from pageloom.functions import text as X
 from pageloom.operators import quality as Q
+from pageloom.plans.frames import FRAME_ISSUES_SQL, text_frames
 from pageloom.plans.registry import query
 
 VISIBLE = r"[^\s\p{Z}\p{Cf}\p{Cc}\p{Cs}\p{Mn}\p{Me}]"
@@ -64,9 +63,7 @@ _OVERLAP_SQL = f"""select project_id, image_id, first_id as region_id, 'region_o
   from ({PAIRS_SQL}) join image_pages using (image_id) where inter * 1.0 / smaller > 0.12"""
 _TASK_SQL = """select p.project_id, p.image_id, cast(null as bigint) as region_id, 'task_failed' as code, 'error' as severity
   from processing_tasks t join image_pages p using (image_id) where t.status = 'FAILED'"""
-_SHOWN = "(select * from text_regions where visible and trim(translated_text) <> '')"
-_FRAME_SQL = (_OVERLAP_SQL.replace("text_regions", _SHOWN).replace("'region_overlap'", "'translation_overlap'"))
-ALL_SQL = " union all ".join([*_RULE_SQL.values(), _OVERLAP_SQL, _FRAME_SQL, _TASK_SQL])
+ALL_SQL = " union all ".join([*_RULE_SQL.values(), _OVERLAP_SQL, FRAME_ISSUES_SQL, _TASK_SQL])
 
 
 def _register(rule: str, code: str) -> None:
@@ -96,11 +93,7 @@ def _j03(t):
 
 
 def _findings(t):
-    # Upright frames of the shown translations; r25 has the turned and dented ones.
-    box = G.box_to_polygon(*[F.col(c) for c in "xywh"])
-    frames = t.text_regions.where(F.col("visible") & (X.strip(F.col("translated_text")) != "")).select(
-        "image_id", "region_id", F.col("reading_order").alias("seq"), box.alias("polygon"))
-    return Q.all_findings(t.text_regions, t.image_pages, t.processing_tasks, frames)
+    return Q.all_findings(t.text_regions, t.image_pages, t.processing_tasks, text_frames(t))
 
 
 @query("x04_all_issues", ALL_SQL)

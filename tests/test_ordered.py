@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -255,3 +256,37 @@ def test_unique_keys(spark):
     df = spark.createDataFrame([(1, 1, "R1"), (1, 2, "R1-2"), (1, 3, "R1"), (1, 4, "R1"), (2, 1, "R1")], "image_id bigint, seq bigint, region_key string")
     got = {(r.image_id, r.seq): r.unique_key for r in unique_key(df).collect()}
     assert got == {(1, 1): "R1", (1, 2): "R1-2", (1, 3): "R1-3", (1, 4): "R1-4", (2, 1): "R1"}
+
+
+def test_frames_of_any_outline_share_exact_areas(spark):
+    """Turned, dented and star-like outlines against a fine raster, and cases known by hand."""
+
+    from pageloom.functions import geometry as G
+    rng = random.Random(8)
+
+    def star(cx, cy, corners, dented):
+        turn = rng.random()
+        return [(cx + r * math.cos(a), cy + r * math.sin(a)) for k in range(corners)
+                for a, r in [((k + turn) * 2 * math.pi / corners, 30 * (rng.uniform(0.3, 1) if dented else 1))]]
+
+    def inside(ring, x, y):
+        hits = 0
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            hits += (ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay)
+        return hits % 2
+    square, dent = [(0, 0), (10, 0), (10, 10), (0, 10)], [(0, 0), (10, 0), (5, 5), (10, 10), (0, 10)]
+    known = [(square, [(5, 5), (15, 5), (15, 15), (5, 15)], 25.0), (square, square[::-1], 100.0), (square, dent, 75.0), (dent, dent, 75.0),
+             (dent, [(6, 4), (9, 4), (9, 6), (6, 6)], 0.0), (square, [(10, 0), (20, 0), (20, 10), (10, 10)], 0.0),
+             (square, [(5, -5), (15, 5), (5, 15), (-5, 5)], 100.0)]
+    drawn = [(star(0, 0, rng.randint(3, 7), i % 2), star(rng.uniform(-30, 30), rng.uniform(-30, 30), rng.randint(3, 6), i % 3)) for i in range(12)]
+    ring = "array<struct<x:double,y:double>>"
+    rows = [([(float(x), float(y)) for x, y in p], [(float(x), float(y)) for x, y in q], i) for i, (p, q) in enumerate([k[:2] for k in known] + drawn)]
+    got = {r.i: r.s for r in spark.createDataFrame(rows, f"p {ring}, q {ring}, i int").select("i", G.shared_areas(F.col("p"), F.col("q")).alias("s")).collect()}
+    for i, (p, q, want) in enumerate(known):
+        assert got[i].both == pytest.approx(want, abs=1e-9)
+    step = 0.5
+    for i, (p, q) in enumerate(drawn, len(known)):
+        grid = [(x * step + 0.25, y * step + 0.25) for x in range(-140, 140) for y in range(-140, 140)]
+        in_p = [k for k in grid if inside(p, *k)]
+        both = sum(inside(q, *k) for k in in_p) * step * step
+        assert got[i].first == pytest.approx(len(in_p) * step * step, abs=40) and got[i].both == pytest.approx(both, abs=40)
