@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,21 +59,6 @@ def reading_order(regions: DataFrame, keys: Sequence[str] = ("image_id",), toler
         *keys, "region_id", _c("_rank").alias("column_rank"), "position")
 
 
-def _spans(boxes: list[tuple], members: list[int], axis: int) -> list[tuple[float, list[int]]]:
-    """Groups of boxes separated by empty stripes of at least 2, each with the stripe before it."""
-    spans: list[tuple[float, list[int]]] = []
-    reach = 0.0
-    for i in sorted(members, key=lambda m: boxes[m][axis]):
-        begin, end = boxes[i][axis], boxes[i][axis] + boxes[i][axis + 2]
-        if not spans or begin - reach >= 2:
-            spans.append((begin - reach, [i]))
-            reach = max(reach, end) if len(spans) > 1 else end
-        else:
-            spans[-1][1].append(i)
-            reach = max(reach, end)
-    return spans
-
-
 def _plain_order(boxes: list[tuple], members: list[int]) -> list[int]:
     """Right-to-left columns for the few boxes no gutter separates."""
     columns: list[list[float]] = []
@@ -82,16 +69,27 @@ def _plain_order(boxes: list[tuple], members: list[int]) -> list[int]:
     return [i for _, i, _ in sorted(home, key=lambda r: (-mean[r[0]], r[0], boxes[r[1]][1], -r[2]))]
 
 
-def _cut_order(boxes: list[tuple], members: list[int]) -> list[int]:
-    """Order boxes by their widest gutters: across the page first, then down it."""
-    for axis in (1, 0):
-        spans = _spans(boxes, members, axis)
-        if len(spans) > 1:
-            at = max(range(1, len(spans)), key=lambda k: (spans[k][0], k))
-            sides = [[i for _, group in part for i in group] for part in (spans[:at], spans[at:])]
-            first, second = sides if axis == 1 else sides[::-1]
-            return _cut_order(boxes, first) + _cut_order(boxes, second)
-    return _plain_order(boxes, members)
+def _cells(boxes: np.ndarray) -> list[list[int]]:
+    """Boxes in cells that no gutter of 2 or more parts, cells in reading order.
+
+    A cell's place is its path of cuts: 0 for what is read first.  Each cut
+    takes the widest gutter across the page, or else down it, the last of equals.
+    """
+    cells, uncut = {(): np.arange(len(boxes))}, [()]
+    while uncut:
+        path = uncut.pop()
+        for axis in (1, 0):
+            along = cells[path][np.argsort(boxes[cells[path], axis], kind="stable")]
+            begin, reach = boxes[along, axis], np.maximum.accumulate(boxes[along, axis] + boxes[along, axis + 2])
+            gutters = (begin[1:] - reach[:-1])[::-1]
+            if len(gutters) and gutters.max() >= 2:
+                at = len(gutters) - int(gutters.argmax())
+                upper, lower = (along[:at], along[at:]) if axis == 1 else (along[at:], along[:at])
+                del cells[path]
+                cells |= {(*path, 0): upper, (*path, 1): lower}
+                uncut += [(*path, 0), (*path, 1)]
+                break
+    return [cells[path].tolist() for path in sorted(cells)]
 
 
 def panel_reading_order(regions: DataFrame, panels: DataFrame) -> DataFrame:
@@ -116,8 +114,9 @@ def panel_reading_order(regions: DataFrame, panels: DataFrame) -> DataFrame:
         "image_id", F.lit(0).alias("kind"), "seq", F.concat(F.lit("p"), "region_id").alias("grp"), "x", "y", "w", "h").union(lone)
 
     def arrange(key, held):
-        boxes = [row[3:7] for row in held]
-        return [(*key, held[i][2], n) for n, i in enumerate(_cut_order(boxes, list(range(len(boxes)))), 1)]
+        boxes = np.array([row[3:7] for row in held], float)
+        order = chain.from_iterable(_plain_order(boxes, cell) for cell in _cells(boxes))
+        return [(*key, held[i][2], n) for n, i in enumerate(order, 1)]
     ranks = ordered_groups(frames, ["image_id"], ["kind", "seq"], arrange, "image_id bigint, grp string, grp_rank bigint")
     inner = reading_order(placed, ["image_id", "grp"])
     both = inner.join(ranks, ["image_id", "grp"], "left").withColumn("grp_rank", F.coalesce("grp_rank", F.lit(1)))

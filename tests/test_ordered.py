@@ -290,3 +290,20 @@ def test_frames_of_any_outline_share_exact_areas(spark):
         in_p = [k for k in grid if inside(p, *k)]
         both = sum(inside(q, *k) for k in in_p) * step * step
         assert got[i].first == pytest.approx(len(in_p) * step * step, abs=40) and got[i].both == pytest.approx(both, abs=40)
+
+
+def test_cells_are_read_by_their_cuts():
+    """Across the page first, then from the right; boxes that no gutter of 2 parts stay together."""
+    import numpy as np
+    grid = [(0, 0, 40, 40), (50, 0, 40, 40), (0, 50, 90, 40)]
+    assert O._cells(np.array(grid, float)) == [[1], [0], [2]]
+    assert O._cells(np.array([(0, 0, 40, 40), (41, 0, 40, 41), (0, 41, 40, 40), (90, 60, 9, 20)], float)) == [[3], [0, 2, 1]]
+    rng = random.Random(5)
+    for _ in range(200):
+        boxes = np.array([[rng.randrange(0, 90, 3), rng.randrange(0, 90, 3), rng.randint(1, 30), rng.randint(1, 30)] for _ in range(9)], float)
+        cells = O._cells(boxes)
+        assert sorted(i for c in cells for i in c) == list(range(9))
+        for c in cells:
+            for axis in (0, 1):
+                marks = sorted((boxes[i][axis], boxes[i][axis] + boxes[i][axis + 2]) for i in c)
+                assert all(b - max(e for _, e in marks[:k]) < 2 for k, (b, _) in enumerate(marks) if k)
