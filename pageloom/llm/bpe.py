@@ -50,8 +50,11 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
+        import tiktoken
 
         self.ranks = ranks
+        # the library's own merging of one piece; pieces, chunks and stitching are ours
+        self.library = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.table = pa.array(token_table(ranks), pa.large_binary())
         self.pattern = regex.compile(pattern)
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -64,18 +67,7 @@ class Encoder:
             return (ranks[piece],)
         if len(piece) > 500:
             return self._merge_long(piece)
-        get, none = ranks.get, MAX_RANKS
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        pairs = [get(piece[i:i + 2], none) for i in range(len(piece) - 1)]
-        while pairs and (lowest := min(pairs)) < none:
-            i = pairs.index(lowest)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = get(parts[i] + parts[i + 1], none)
-            if i:
-                pairs[i - 1] = get(parts[i - 1] + parts[i], none)
-        return tuple(ranks[p] for p in parts)
+        return tuple(self.library.encode_single_piece(piece))
 
     def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         """The same merges with a heap over a linked list, for pieces of any length."""
