@@ -43,7 +43,8 @@ SCRIPTS = {
 UNKNOWN = "und"
 #: Characters of text that a task works on at a time.
 BATCH_CHARS = 2_000_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters that are scored together at most; a longer run is scored in pieces, so that spans can begin inside it.
+PIECE = 64
 RESULT = "lang_pred string, score double"
 SPANS = RESULT + ", spans array<struct<start:int,end:int,lang:string>>"
 
@@ -56,6 +57,25 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 1 << 20
 
 
+def _ranges(*names: str) -> str:
+    return "".join(f"{chr(a)}-{chr(b)}" for name in names for a, b in SCRIPTS[name])
+
+
+_RARE = [name for name in SCRIPTS if name != "latin"]
+_RARE_LETTER = re.compile(f"[{_ranges(*_RARE)}]")
+_COMMON = rf"[^\W\d_{_ranges(*_RARE)}]{{1,{PIECE}}}"
+_PLAIN = re.compile(_COMMON)
+_MIXED = re.compile("|".join([_COMMON] + [rf"(?:(?=[{_ranges(name)}])[^\W\d_]){{1,{PIECE}}}" for name in _RARE]))
+
+
+def pieces(text: str) -> re.Pattern:
+    """The pattern of the words of ``text``: runs of letters, cut where the script changes and after ``PIECE`` letters.
+
+    Latin letters and those of no listed script run together.
+    """
+    return _MIXED if _RARE_LETTER.search(text) else _PLAIN
+
+
 def scripts_of(points: np.ndarray) -> np.ndarray:
     """Number of the script of each code point; ``len(SCRIPTS)`` for any other."""
     at = np.searchsorted(_FROM, points, side="right") - 1
@@ -64,8 +84,8 @@ def scripts_of(points: np.ndarray) -> np.ndarray:
 
 def gram_hashes(words: list[str], longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, word) of the character n-grams (1 to ``longest``) of words with marked ends, and each word's first code point."""
-    points = np.frombuffer("".join(f"<{w[:64]}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.fromiter((min(len(w), 64) + 2 for w in words), np.int64, len(words))
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     owner = np.repeat(np.arange(len(words)), lengths)
     left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))  # characters up to the word's end
     hashes, owners = [], []
@@ -152,7 +172,7 @@ class Model:
         flat: list[str] = []
         lengths, sizes = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            words = _WORD.findall(text) if text else []
+            words = pieces(text).findall(text) if text else []
             sizes[i] = len(words)
             lengths += map(len, words)
             if words:
@@ -172,7 +192,7 @@ class Model:
 
     def _spans(self, text: str | None, path: np.ndarray) -> list[dict]:
         out: list[dict] = []
-        for m, lang in zip(_WORD.finditer(text or ""), path.tolist()):
+        for m, lang in zip(pieces(text or "").finditer(text or ""), path.tolist()):
             if out and out[-1]["lang"] == self.langs[lang]:
                 out[-1]["end"] = m.end()
             else:
@@ -198,7 +218,7 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", sample_rows:
         for batch in batches:
             seen: dict[str, Counter] = {}
             for t, name in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
-                seen.setdefault(name, Counter()).update(w.lower() for w in _WORD.findall(t))
+                seen.setdefault(name, Counter()).update(w.lower() for w in pieces(t).findall(t))
             for name, words in seen.items():
                 if not words:
                     continue
@@ -233,7 +253,8 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang", sample_rows:
 def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = True) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and (unless left out) ``spans``.
 
-    ``score`` is the share of letters in spans of ``lang_pred``; a tie goes to
+    Runs of letters are cut at changes of script and after 64 letters, and every
+    piece is scored.  ``score`` is the share of letters in spans of ``lang_pred``; a tie goes to
     the first language by name.  Null texts and texts without a letter are
     ``und`` with score 0 and no spans.  Columns of these names are replaced.
     """

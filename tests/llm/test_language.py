@@ -20,7 +20,7 @@ def test_grams_are_those_of_the_words():
     hashes, owners, firsts = language.gram_hashes(words, 4)
     of = {}
     for w, i in zip(words, range(len(words))):
-        marked = f"<{w[:64]}>"
+        marked = f"<{w}>"
         grams = [marked[k:k + n] for n in (1, 2, 3, 4) for k in range(len(marked) - n + 1)]
         mine = hashes[owners == i].tolist()
         assert len(mine) == len(grams)
@@ -29,6 +29,20 @@ def test_grams_are_those_of_the_words():
     assert len(set(of.values())) == len(of) and [chr(c) for c in firsts] == ["a", "z", "é", "x"]
 
 
+def test_long_and_mixed_runs_are_cut_and_scored_whole(spark):
+    cut = lambda t: language.pieces(t).findall(t)
+    assert [len(w) for w in cut("a" * 200)] == [64, 64, 64, 8]
+    assert cut("houseдом7riverрека") == ["house", "дом", "river", "река"]
+    rng = random.Random(6)
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    rows = [(i, " ".join(draw(letters, 6) for _ in range(40)), lang) for i in range(60)
+            for letters, lang in (("abcdefg", "aa"), ("nopqrst", "bb"), ("абвгде", "cc"))]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    run = draw("abcdefg", 64) + draw("nopqrst", 128)
+    assert model.label([run + draw("абвгде", 8)], True).to_dict("records") == [{"lang_pred": "bb", "score": 0.64, "spans": [
+        {"start": 0, "end": 64, "lang": "aa"}, {"start": 64, "end": 192, "lang": "bb"}, {"start": 192, "end": 200, "lang": "cc"}]}]
+
+
 def test_viterbi_against_all_paths():
     rng = random.Random(2)
     words = [f"word{i}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(8)]
