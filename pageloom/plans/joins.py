@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pageloom.core.dealing import dealt
 from pageloom.operators import layout as L
 from pageloom.operators import lineage as N
 from pageloom.operators import masks as M
@@ -90,8 +91,9 @@ _ASSIGN = f"""{RUNS('tr', 'lettering')}, {RUNS('br', 'bubbles')},
     where n * 1.0 / ta.area >= 0.9 group by 1, 2)"""
 
 
-def _runs(df):
-    return M.boxes_to_runs(df, scale=10)
+def _runs(df, *keys):
+    """Scan lines of boxes, dealt by region or by ``keys`` while they are still boxes."""
+    return M.boxes_to_runs(dealt(df, *(keys or ("image_id", "region_id"))), scale=10)
 
 
 def _assigned(t):
