@@ -94,8 +94,26 @@ def value_at(value: str, index: Column) -> Column:
 
 
 def quantile(value: str, p: float, total: str = "total") -> Column:
-    """Aggregate over ``value_ranks`` rows: the linearly interpolated quantile."""
+    """Aggregate over ``value_ranks`` rows: the linearly interpolated quantile.
+
+    Both neighbours are weighted and added with one rounding (a fused multiply
+    and add), as DuckDB does: any other order of rounding tips ties.
+    """
     at = (F.col(total) - 1) * F.lit(p)
     low = F.floor(at)
-    below, above = value_at(value, low), value_at(value, F.ceil(at))
-    return below + (above - below) * F.max(at - low)
+    below, above = value_at(value, low).cast("double"), value_at(value, F.ceil(at)).cast("double")
+    share = F.max(at - low)
+    return fused(below, 1 - share, above * share)
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once, from exact products and sums of halves."""
+    def halves(v: Column) -> tuple[Column, Column]:
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        return high, v - high
+    (a1, a2), (b1, b2) = halves(a), halves(b)
+    product = a * b
+    lost = a2 * b2 - (product - a1 * b1 - a2 * b1 - a1 * b2)
+    total = product + c
+    part = total - product
+    return total + ((product - (total - part)) + (c - part) + lost)
