@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.core.intervals import merge_runs
@@ -27,10 +27,11 @@ def union_area(rects: DataFrame, keys: Sequence[str], cell: int = 256) -> DataFr
                    F.greatest("y", _c("_j") * cell).alias("x0"), F.least(_c("y") + _c("h"), (_c("_j") + 1) * cell).alias("x1"))
            .groupBy(*keys, "_i", "_j", "_l", "_r", "x0").agg(F.max("x1").alias("x1")))
     place = [*keys, "_i", "_j"]
-    edges = (cut.select(*place, F.explode(F.array("_l", "_r")).alias("_e")).groupBy(*place)
-             .agg(F.sort_array(F.collect_set("_e")).alias("_edges")))
+    # a cell's edges come by a window, not by a join: rows already dealt by a part of the keys stay where they are
+    here = Window.partitionBy(*place)
+    edges = F.sort_array(F.array_union(F.collect_set("_l").over(here), F.collect_set("_r").over(here)))
     inside = F.filter("_edges", lambda e: (e >= _c("_l")) & (e < _c("_r")))
-    slabs = cut.join(edges, place).withColumn("_slab", F.explode(inside))
+    slabs = cut.withColumn("_edges", edges).withColumn("_slab", F.explode(inside))
     width = F.element_at("_edges", (F.array_position("_edges", _c("_slab")) + 1).cast("int")) - _c("_slab")
     merged = merge_runs(slabs.withColumn("_width", width), [*place, "_slab", "_width"])
     return merged.groupBy(*keys).agg(F.sum((_c("x1") - _c("x0")) * _c("_width")).alias("area"))

@@ -81,12 +81,6 @@ def review_tiles(pages: DataFrame, evidence: DataFrame, max_side: int = 1600, ma
     count = lambda page: F.greatest(F.lit(1), F.ceil(F.greatest(F.lit(0), _c(page) - _c("side")) / _c("step")) + 1)
     grid = grid.withColumn("cols", count("width")).withColumn("rows", count("height"))
     at = lambda k, page: F.least(_c(k) * _c("step"), F.greatest(F.lit(0), _c(page) - _c("side")))
-    tiles = (grid.where(_c("cols") * _c("rows") <= max_tiles)
-             .withColumn("j", F.explode(F.sequence(F.lit(0), _c("rows") - 1)))
-             .withColumn("i", F.explode(F.sequence(F.lit(0), _c("cols") - 1)))
-             .select("image_id", at("i", "width").alias("tx"), at("j", "height").alias("ty"), "side", "width", "height")
-             .withColumn("tw", F.least("side", _c("width") - _c("tx")))
-             .withColumn("th", F.least("side", _c("height") - _c("ty"))))
     lo_x, lo_y = F.greatest("x", "tx"), F.greatest("y", "ty")
     hi_x, hi_y = F.least(_c("x") + _c("w"), _c("tx") + _c("tw")), F.least(_c("y") + _c("h"), _c("ty") + _c("th"))
     # a crop meets the tiles of its own index range (and the last ones, which are moved inside), not all of the page
@@ -100,8 +94,16 @@ def review_tiles(pages: DataFrame, evidence: DataFrame, max_side: int = 1600, ma
     clipped = met.where((hi_x > lo_x) & (hi_y > lo_y)).select(
         "image_id", "tx", "ty", lo_x.alias("x"), lo_y.alias("y"), (hi_x - lo_x).alias("w"), (hi_y - lo_y).alias("h"))
     covered = union_area(clipped, ["image_id", "tx", "ty"])
-    open_ = (tiles.join(covered, ["image_id", "tx", "ty"], "left")
-             .where(F.coalesce("area", F.lit(0)) < _c("tw") * _c("th"))
+    # a page's covered tiles, as many as the limit at most, travel as one row
+    tile = _c("tx").cast("bigint") * 4294967296 + _c("ty")
+    known = covered.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct(tile, "area"))).alias("_areas"))
+    tiles = (grid.where(_c("cols") * _c("rows") <= max_tiles).join(known, "image_id", "left")
+             .withColumn("j", F.explode(F.sequence(F.lit(0), _c("rows") - 1)))
+             .withColumn("i", F.explode(F.sequence(F.lit(0), _c("cols") - 1)))
+             .select("image_id", at("i", "width").alias("tx"), at("j", "height").alias("ty"), "side", "width", "height", "_areas")
+             .withColumn("tw", F.least("side", _c("width") - _c("tx")))
+             .withColumn("th", F.least("side", _c("height") - _c("ty"))))
+    open_ = (tiles.where(F.coalesce(_c("_areas")[tile], F.lit(0)) < _c("tw") * _c("th"))
              .select("image_id", "tx", "ty", "tw", "th", F.lit(False).alias("blocked")))
     none = F.lit(None).cast("bigint")
     over = grid.where(_c("cols") * _c("rows") > max_tiles).select(

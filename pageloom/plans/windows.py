@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pageloom.operators import masks as M
@@ -145,10 +146,12 @@ _PROFILE = f"""{RUNS('rr', 'text_regions')}, merged as (select image_id as mask_
 
 
 def _profile(t):
-    rows = _runs(t.text_regions).groupBy(_c("image_id").alias("mask_id"), _c("y").alias("pos")).agg(F.sum(_c("x1") - _c("x0")).alias("ink"))
-    span = rows.groupBy("mask_id").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    grid = span.select("mask_id", F.explode(F.sequence("lo", "hi")).alias("pos"))
-    return grid.join(rows, ["mask_id", "pos"], "left").withColumn("ink", F.coalesce("ink", F.lit(0)))
+    rows = _runs(t.text_regions, "image_id").groupBy(_c("image_id").alias("mask_id"), _c("y").alias("pos")).agg(F.sum(_c("x1") - _c("x0")).alias("ink"))
+    # each line brings the empty ones up to the next, so that no grid has to be joined
+    next_line = F.lead("pos").over(Window.partitionBy("mask_id").orderBy("pos"))
+    spread = rows.withColumn("_next", next_line).select("mask_id", _c("pos").alias("_at"), "ink", F.explode(
+        F.sequence("pos", F.coalesce(_c("_next") - 1, _c("pos")))).alias("pos"))
+    return spread.select("mask_id", "pos", F.when(_c("pos") == _c("_at"), _c("ink")).otherwise(0).alias("ink"))
 
 
 @query("w12_split_gutters", f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pageloom.core.dealing import dealt
 from pageloom.operators import masks as M
 from pageloom.operators import ordering as O  # noqa: F401
 from pageloom.operators import workflow as K
@@ -56,7 +57,7 @@ _EV = "select image_id, x, y, w * 3 as w, h * 5 as h, reading_order % 4 as scale
   union all select image_id, null, null, null, null, true from n where nc * nr > 256""")
 def _t04(t):
     ev = t.text_regions.selectExpr("image_id", "x", "y", "w * 3 as w", "h * 5 as h", "reading_order % 4 as scale")
-    return K.review_tiles(t.image_pages, ev)
+    return K.review_tiles(t.image_pages, dealt(ev, "image_id"))
 
 
 _FACTS = {
@@ -143,7 +144,7 @@ def _a33(t):
 def _t06(t):
     r = t.text_regions.selectExpr("image_id", "region_id", "case when label = 'text' and font_size % 3 <> 0 then 'text' else 'bubble' end as label",
                                   "x div 100 * 100 as x", "y div 100 * 100 as y", "cast(200 as bigint) as w", "cast(100 as bigint) as h", "confidence")
-    return M.dedupe_best(r, M.run_digest(_runs(r))).select("image_id", "region_id", "label")
+    return M.dedupe_best(r, M.run_digest(_runs(r.where("label <> 'text'")))).select("image_id", "region_id", "label")
 
 
 @query("x01_suppress", """
