@@ -1,9 +1,21 @@
-"""Boxes and polygons as columns.  A polygon is array<struct<x:double,y:double>>."""
+"""Boxes and polygons as columns.  A polygon is array<struct<x:double,y:double>>.
+
+Spark interprets nested array expressions row by row, so the tests that walk all
+edges of a polygon work on whole Arrow batches.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+POLYGON = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+#: Pairs of edges that are compared at once.
+PAIRS = 1 << 20
 
 
 def let(value: Column, body) -> Column:
@@ -94,33 +106,59 @@ def _turn(a: Column, b: Column, c: Column) -> Column:
     return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
 
 
-def _crosses(a: Column, b: Column, c: Column, d: Column) -> Column:
-    apart = F.lit(False)
-    for axis in ("x", "y"):
-        apart = apart | (F.greatest(F.least(a[axis], b[axis]), F.least(c[axis], d[axis]))
-                         > F.least(F.greatest(a[axis], b[axis]), F.greatest(c[axis], d[axis])))
-    return ~apart & (_turn(a, b, c) * _turn(a, b, d) <= 0) & (_turn(c, d, a) * _turn(c, d, b) <= 0)
-
-
-def self_crossing(p: Column) -> Column:
-    """Do two edges that share no vertex meet?"""
-    nxt, n = following(p), F.size(p)
-    far = lambda i, j: (j > i + 1) & ~((i == 0) & (j == n - 1))
-    spots = F.sequence(F.lit(0), n - 1)
-    return F.exists(spots, lambda i: F.exists(spots, lambda j: far(i, j) & _crosses(
-        F.get(p, i), F.get(nxt, i), F.get(p, j), F.get(nxt, j))))
-
-
-def invalid_reason(p: Column) -> Column:
+def _rings(p: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, polygon, next) of every corner, and the corners of each polygon; a missing number is NaN."""
+    at = p.offsets.to_numpy()
+    corners = p.values.slice(at[0], at[-1] - at[0])
+    x, y = (pc.struct_field(corners, k).to_numpy(zero_copy_only=False).astype(np.float64) for k in "xy")
+    sizes = np.diff(at)
+    after = np.arange(1, len(x) + 1)
+    ends = (at[1:] - at[0])[sizes > 0]
+    after[ends - 1] = ends - sizes[sizes > 0]
+    return x, y, np.repeat(np.arange(len(sizes)), sizes), after, sizes
+
+
+def _crossed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the polygons (rows) of one size have two edges that share no vertex and meet."""
+    n = x.shape[1]
+    i, j = np.triu_indices(n, 2)
+    far = ~((i == 0) & (j == n - 1))
+    i, j = i[far], j[far]
+    found = np.zeros(len(x), bool)
+    rows = max(1, PAIRS // max(1, len(i)))
+    for at in range(0, len(x), rows):
+        u, v = x[at:at + rows], y[at:at + rows]
+        a, b, c, d = ((u[:, k % n], v[:, k % n]) for k in (i, i + 1, j, j + 1))
+        turn = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+        apart = np.zeros(a[0].shape, bool)
+        for k in (0, 1):
+            apart |= (np.maximum(np.minimum(a[k], b[k]), np.minimum(c[k], d[k])) > np.minimum(np.maximum(a[k], b[k]), np.maximum(c[k], d[k])))
+        found[at:at + rows] = (~apart & (turn(a, b, c) * turn(a, b, d) <= 0) & (turn(c, d, a) * turn(c, d, b) <= 0)).any(axis=1)
+    return found
+
+
+@F.arrow_udf(T.StringType())
+def invalid_reason(p: pa.Array) -> pa.Array:
     """Null for a valid simple polygon, else why it is not one."""
-    big = float("inf")
-    finite = F.forall(p, lambda v: v["x"].isNotNull() & v["y"].isNotNull() & ~F.isnan(v["x"]) & ~F.isnan(v["y"])
-                      & (F.abs(v["x"]) < big) & (F.abs(v["y"]) < big))
-    return (F.when(p.isNull() | (F.size(p) < 3) | (F.size(p) > 2000), "count")
-            .when(~finite, "not_finite")
-            .when(F.size(F.array_distinct(p)) < F.size(p), "repeated_vertex")
-            .when(polygon_area(p) < 1, "degenerate")
-            .when(self_crossing(p), "self_crossing"))
+    with np.errstate(all="ignore"):
+        x, y, own, after, sizes = _rings(p)
+        n = len(p)
+        out = np.full(n, None, object)
+        area = np.abs(np.bincount(own, x * y[after] - x[after] * y, n)) / 2
+        order = np.lexsort((y, x, own))
+        u, v, w = x[order], y[order], own[order]
+        twice = np.bincount(w[1:], (u[1:] == u[:-1]) & (v[1:] == v[:-1]) & (w[1:] == w[:-1]), n) > 0
+        lost = np.bincount(own, ~(np.isfinite(x) & np.isfinite(y)), n) > 0
+        count = ~p.is_valid().to_numpy(zero_copy_only=False) | (sizes < 3) | (sizes > 2000)
+        bad = count | lost | twice | (area < 1)
+        starts = np.cumsum(sizes) - sizes
+        for size in np.unique(sizes[~bad]):
+            rows = np.nonzero(~bad & (sizes == size))[0]
+            at = starts[rows, None] + np.arange(size)
+            out[rows[_crossed(x[at], y[at])]] = "self_crossing"
+        for reason, rows in (("degenerate", area < 1), ("repeated_vertex", twice), ("not_finite", lost), ("count", count)):
+            out[rows] = reason
+    return pa.array(out, pa.string())
 
 
 def rotate_polygon(p: Column, cx: Column, cy: Column, degrees: Column,
@@ -164,57 +202,55 @@ def aligned_frame(p: Column, degrees: Column) -> Column:
 
 
 def point_in_polygon(p: Column, x: Column, y: Column, slack: float = 1e-6) -> Column:
-    """Even-odd test; points on an edge count as inside."""
-    def on_edge(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        length2 = dx * dx + dy * dy
-        t = F.least(F.greatest(F.coalesce(F.try_divide((x - a["x"]) * dx + (y - a["y"]) * dy, length2), F.lit(0.0)),
-                               F.lit(0.0)), F.lit(1.0))
-        gx, gy = x - (a["x"] + t * dx), y - (a["y"] + t * dy)
-        return gx * gx + gy * gy <= slack * slack
-
-    def ray_hits(e: Column) -> Column:
-        a, b = e["a"], e["b"]
-        at = F.try_divide((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]) + a["x"]
-        return F.coalesce(((a["y"] > y) != (b["y"] > y)) & (x < at), F.lit(False))
-    sides = edges(p)
-    return F.exists(sides, on_edge) | (F.size(F.filter(sides, ray_hits)) % 2 == 1)
-
-
-def order_quad(p: Column) -> Column:
+    """Even-odd test; points on an edge count as inside.  Null if the polygon, one of its numbers or the point is missing."""
+    @F.arrow_udf(T.BooleanType())
+    def inside(p: pa.Array, x: pa.Array, y: pa.Array) -> pa.Array:
+        with np.errstate(all="ignore"):
+            ax, ay, own, after, _ = _rings(p)
+            bx, by = ax[after], ay[after]
+            u, v = (c.to_numpy(zero_copy_only=False).astype(np.float64)[own] for c in (x, y))
+            dx, dy = bx - ax, by - ay
+            length2 = dx * dx + dy * dy
+            t = np.clip(np.where(length2 == 0, 0.0, ((u - ax) * dx + (v - ay) * dy) / length2), 0, 1)
+            gx, gy = u - (ax + t * dx), v - (ay + t * dy)
+            on_edge = gx * gx + gy * gy <= slack * slack
+            ray_hits = ((ay > v) != (by > v)) & (u < dx * (v - ay) / dy + ax)
+            n = len(p)
+            found = (np.bincount(own, on_edge, n) > 0) | (np.bincount(own, ray_hits, n) % 2 == 1)
+            lost = np.bincount(own, np.isnan(ax) | np.isnan(ay), n) > 0
+        lost |= ~np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in (p, x, y)])
+        return pa.array(found, mask=lost)
+    return inside(p, x.cast("double"), y.cast("double"))
+
+
+@F.arrow_udf(POLYGON)
+def order_quad(p: pa.Array) -> pa.Array:
     """Corners from the top-left one clockwise; null when not a usable convex quad."""
-    def around(q: Column) -> Column:
-        mean = let(F.array(q), lambda _: F.struct(
-            (_total(F.transform(q, lambda v: v["x"])) / 4).alias("x"), (_total(F.transform(q, lambda v: v["y"])) / 4).alias("y")))
-        return let(mean, lambda m: F.array_sort(F.transform(q, lambda v: F.struct(
-            F.atan2(v["y"] - m["y"], v["x"] - m["x"]).alias("angle"), v["x"].alias("x"), v["y"].alias("y")))))
-
-    def from_first(r: Column) -> Column:
-        first = F.array_min(F.transform(r, lambda v, i: F.struct(
-            (v["x"] + v["y"]).alias("s"), v["y"].alias("y"), v["x"].alias("x"), i.alias("i"))))["i"]
-        spots = F.sequence(F.lit(0), F.lit(3))
-        return let(first, lambda f: F.transform(spots, lambda k: let(
-            F.get(r, (k + f) % 4), lambda v: point(v["x"], v["y"]))))
-
-    def measure(ring: Column) -> Column:
-        spots = F.sequence(F.lit(0), F.lit(3))
-        at = lambda k: F.get(ring, k % 4)
-        length = lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"])
-        turn = lambda k: _turn(at(k), at(k + 1), at(k + 2))
-        size = F.transform(spots, lambda k: length(at(k), at(k + 1)))
-        return F.struct(ring.alias("ring"), F.array_min(F.transform(spots, turn)).alias("turn"),
-                        F.array_min(size).alias("side"), polygon_to_box(ring).alias("box"),
-                        polygon_area(ring).alias("area"),
-                        F.array_min(F.transform(spots, lambda k: F.try_divide(
-                            turn(k), length(at(k), at(k + 1)) * length(at(k + 1), at(k + 2))))).alias("sharp"))
-
-    def judge(m: Column) -> Column:
-        ok = ((m["turn"] > 1e-6) & (m["side"] >= 2) & (m["area"] >= 4)
-              & (m["area"] >= 0.01 * m["box"]["w"] * m["box"]["h"]) & (m["sharp"] >= 1e-3))
-        return F.when(ok, m["ring"])
-    usable = (F.size(p) == 4) & (F.size(F.array_distinct(p)) == 4)
-    return F.when(usable, let(let(let(let(p, around), from_first), measure), judge))
+    with np.errstate(all="ignore"):
+        x, y, _, _, sizes = _rings(p)
+        rows = np.nonzero(p.is_valid().to_numpy(zero_copy_only=False) & (sizes == 4))[0]
+        at = (np.cumsum(sizes) - sizes)[rows, None] + np.arange(4)
+        x, y = x[at], y[at]
+        i, j = np.triu_indices(4, 1)
+        ok = ~((x[:, i] == x[:, j]) & (y[:, i] == y[:, j])).any(axis=1)
+        total = lambda v: v[:, 0] + v[:, 1] + v[:, 2] + v[:, 3]
+        angle = np.arctan2(y - total(y)[:, None] / 4, x - total(x)[:, None] / 4)
+        around = np.lexsort((y, x, angle), axis=1)
+        x, y = np.take_along_axis(x, around, 1), np.take_along_axis(y, around, 1)
+        first = np.lexsort((x, y, x + y), axis=1)[:, :1]
+        turned = (np.arange(4) + first) % 4
+        x, y = np.take_along_axis(x, turned, 1), np.take_along_axis(y, turned, 1)
+        nx, ny, fx, fy = np.roll(x, -1, 1), np.roll(y, -1, 1), np.roll(x, -2, 1), np.roll(y, -2, 1)
+        turn = (nx - x) * (fy - y) - (ny - y) * (fx - x)
+        side = np.hypot(nx - x, ny - y)
+        area = np.abs(total(x * ny - nx * y)) / 2
+        ok &= ((turn.min(1, initial=np.inf) > 1e-6) & (side.min(1, initial=np.inf) >= 2) & (area >= 4)
+               & (area >= 0.01 * np.ptp(x, 1) * np.ptp(y, 1)) & ((turn / (side * np.roll(side, -1, 1))).min(1, initial=np.inf) >= 1e-3))
+    none = np.ones(len(p), bool)
+    none[rows[ok]] = False
+    at = np.concatenate([[0], np.cumsum(~none) * 4]).astype(np.int32)
+    corners = pa.StructArray.from_arrays([pa.array(x[ok].ravel()), pa.array(y[ok].ravel())], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(at), corners, mask=pa.array(none))
 
 
 def split_box(x: Column, y: Column, w: Column, h: Column, axis: Column) -> Column:

@@ -209,8 +209,9 @@ def _f22(t):
 def _f23(t):
     p = _quad()
     turned = F.concat(F.slice(p, 3, 2), F.slice(p, 1, 2))
-    text = F.array_join(F.transform(G.order_quad(turned), lambda v: F.concat_ws(" ", v["x"].cast("string"), v["y"].cast("string"))), ",")
-    return t.text_regions.select("region_id", text.alias("corners"))
+    corner = lambda i: F.concat_ws(" ", *[F.get("ring", F.lit(i))[k].cast("string") for k in "xy"])
+    text = F.when(_c("ring").isNotNull(), F.concat_ws(",", *[corner(i) for i in range(4)]))
+    return t.text_regions.select("region_id", G.order_quad(turned).alias("ring")).select("region_id", text.alias("corners"))
 
 
 _ROT = lambda i: (f"round(least(greatest((x + w / 2.0) + (({_XS[i]}) - (x + w / 2.0)) * cos(radians(rotation)) - (({_YS[i]}) - (y + h / 2.0)) * sin(radians(rotation)), 0), 1000), 6)",
