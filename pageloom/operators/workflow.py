@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.core.fold import ordered_fold
+from pageloom.core.fold import clustered_fold
 from pageloom.functions import text as X
 from pageloom.operators.areas import union_area
 
@@ -62,8 +62,8 @@ def focus_windows(boxes: DataFrame, limit: int = 6, tile: int = 384, side: int =
         if spot not in state:
             state.append(spot)
             yield image, len(state), *spot
-    return ordered_fold(points, ["image_id"], ["small", "top", "left", "j", "i"], list, step,
-                        "image_id bigint, n bigint, x bigint, y bigint, w bigint, h bigint")
+    return clustered_fold(points, ["image_id"], ["small", "top", "left", "j", "i"], list, step,
+                          "image_id bigint, n bigint, x bigint, y bigint, w bigint, h bigint", len(points.columns))
 
 
 def review_tiles(pages: DataFrame, evidence: DataFrame, max_side: int = 1600, max_scale: float = 2,

@@ -28,8 +28,8 @@ def _t02(t):
 
 @query("t03_focus_windows")
 def _t03(t):
-    boxes = t.text_regions.join(t.image_pages.select("image_id", "width", "height"), "image_id")
-    boxes = boxes.select("image_id", *[_c(c).cast("double").alias(c) for c in ("x", "y", "w", "h")], "width", "height")
+    boxes = dealt(t.text_regions.select("image_id", "x", "y", "w", "h"), "image_id")
+    boxes = boxes.join(t.image_pages.select("image_id", "width", "height"), "image_id").select("image_id", *[_c(c).cast("double").alias(c) for c in ("x", "y", "w", "h")], "width", "height")
     return K.focus_windows(boxes)
 
 

@@ -82,3 +82,8 @@ def test_touching_pieces_are_one_component(spark):
     runs = [(1, 1, 0, 0, 6, "evidence"), (1, 1, 0, 0, 3, "kept"), (1, 1, 0, 3, 4, "kept"), (1, 1, 4, 0, 5, "evidence"), (1, 1, 4, 0, 2, "kept"), (1, 1, 4, 3, 5, "kept")]
     r = C.integrity(spark.createDataFrame(runs, RUN + ", layer string")).first()
     assert (r.retention, r.min_component_retention, r.clipped, r.fragmented, r.missing) == (round(8 / 11, 4), round(4 / 6, 4), 3, 1, 0)
+
+
+def test_focus_windows_send_boxes_once(spark):
+    plan = QUERIES["t03_focus_windows"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
