@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL = 256
+#: Boxes of a page that are packed to one row and meet there, without cells.
+FEW = 64
 
 
 def _cells(low: Column, high: Column, cell: int) -> Column:
@@ -55,6 +57,28 @@ def overlapping(left: DataFrame, right: DataFrame, page: str = "image_id", cell:
             .withColumn("inter", intersection("a_", "b_")).drop("_cx", "_cy"))
 
 
+def among(boxes: DataFrame, condition: Callable[[dict, dict], Column], page: str = "image_id", cell: int = CELL) -> DataFrame:
+    """``overlapping`` of a table with itself, for pairs with ``condition(a, b)`` over the columns of both.
+
+    Boxes are made and dealt by page once.  Those of a page with few boxes meet
+    where they lie; a fuller page goes through the cells, as it may not fit a task.
+    """
+    columns = [c for c in boxes.columns if c != page]
+    placed = boxes.repartition(page).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(page)))
+    named = lambda p: {c: F.col(p + c) for c in columns}
+    full = overlapping(placed.where(F.col("_n") > FEW).drop("_n"), placed.where(F.col("_n") > FEW).drop("_n"), page, cell,
+                       condition(named("a_"), named("b_")))
+
+    def meets(a: Column, b: Column) -> Column:
+        return ((a["x"] < b["x"] + b["w"]) & (b["x"] < a["x"] + a["w"]) & (a["y"] < b["y"] + b["h"]) & (b["y"] < a["y"] + a["h"])
+                & condition({c: a[c] for c in columns}, {c: b[c] for c in columns}))
+    packed = (placed.where(F.col("_n").between(2, FEW)).groupBy(page).agg(F.collect_list(F.struct(*columns)).alias("_items"))
+              .select(page, F.explode("_items").alias("_b"), "_items"))
+    met = packed.select(page, "_b", F.explode(F.filter("_items", lambda a: meets(a, F.col("_b")))).alias("_a"))
+    few = met.select(page, *[F.col(f"_{s}")[c].alias(f"{s}_{c}") for s in "ab" for c in columns])
+    return few.withColumn("inter", intersection("a_", "b_")).unionByName(full)
+
+
 def paired(boxes: DataFrame, keep: Callable[[Column, Column], Column], pick: Callable[[Column, Column], Column],
            page: str = "image_id", cell: int = CELL) -> DataFrame:
     """``pick(a, b)`` of the pairs of overlapping boxes of one table that ``keep(a, b)``; a box also meets itself.

@@ -56,56 +56,6 @@ def polygon_area(p: Column) -> Column:
     return F.abs(_total(F.zip_with(p, following(p), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]))) / 2
 
 
-def _meeting_heights(first: Column, second: Column) -> Column:
-    """Heights at which an edge of one list crosses one of the other."""
-    def height(s: Column, t: Column) -> Column:
-        def crossing(ends: Column) -> Column:
-            u, v = ends[0], ends[1]
-            apart = _turn(t["a"], t["b"], s["a"]) * _turn(t["a"], t["b"], s["b"]) < 0
-            return F.when((u * v < 0) & apart, t["a"]["y"] + (t["b"]["y"] - t["a"]["y"]) * u / (u - v))
-        return let(F.array(_turn(s["a"], s["b"], t["a"]), _turn(s["a"], s["b"], t["b"])), crossing)
-    return F.array_compact(F.flatten(F.transform(first, lambda s: F.transform(second, lambda t: height(s, t)))))
-
-
-def _intervals(e: Column, y: Column) -> Column:
-    """Where the line at height ``y`` runs inside the outline (even-odd), as (l, r)."""
-    met = F.filter(e, lambda s: (s["a"]["y"] > y) != (s["b"]["y"] > y))
-    xs = F.array_sort(F.transform(met, lambda s: s["a"]["x"] + (y - s["a"]["y"]) * (s["b"]["x"] - s["a"]["x"]) / (s["b"]["y"] - s["a"]["y"])))
-    return let(xs, lambda v: F.filter(F.transform(v, lambda x, i: F.struct(x.alias("l"), F.get(v, i + 1).alias("r"), (i % 2).alias("odd"))),
-                                      lambda k: k["odd"] == 0))
-
-
-def shared_areas(p: Column, q: Column) -> Column:
-    """(both, first, second): exact areas of two simple outlines, dented ones too, and of what they share.
-
-    The plane is cut at every height where an outline has a corner or the two
-    cross.  Between two cuts no edges cross, so both outlines are trapezoids,
-    whose areas, and those of their overlaps, are height times width half way.
-    """
-    def strip(low: Column, high: Column, first: Column, second: Column) -> Column:
-        def measured(a: Column, b: Column) -> Column:
-            width = lambda k: _total(F.transform(k, lambda i: i["r"] - i["l"]))
-            overlap = F.transform(a, lambda i: _total(F.transform(b, lambda j: F.greatest(
-                F.lit(0.0), F.least(i["r"], j["r"]) - F.greatest(i["l"], j["l"])))))
-            tall = high - low
-            return F.struct((_total(overlap) * tall).alias("both"), (width(a) * tall).alias("first"), (width(b) * tall).alias("second"))
-        middle = (low + high) / 2
-        return let(_intervals(first, middle), lambda a: let(_intervals(second, middle), lambda b: measured(a, b)))
-
-    def strips(first: Column, second: Column) -> Column:
-        corners = F.transform(F.concat(first, second), lambda s: s["a"]["y"])
-        cuts = F.array_sort(F.array_distinct(F.concat(corners, _meeting_heights(first, second))))
-        return let(cuts, lambda ys: F.transform(
-            F.slice(ys, F.lit(1), F.greatest(F.size(ys) - 1, F.lit(0))), lambda y, i: strip(y, F.get(ys, i + 1), first, second)))
-
-    parts = let(edges(p), lambda first: let(edges(q), lambda second: strips(first, second)))
-    return let(parts, lambda k: F.struct(*[_total(F.transform(k, lambda s: s[n])).alias(n) for n in ("both", "first", "second")]))
-
-
-def _turn(a: Column, b: Column, c: Column) -> Column:
-    return (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
-
-
 def _rings(p: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(x, y, polygon, next) of every corner, and the corners of each polygon; a missing number is NaN."""
     at = p.offsets.to_numpy()
@@ -161,6 +111,63 @@ def invalid_reason(p: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def _inside(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right) of the stretches where the line at height ``at`` runs inside each outline (even-odd); unused ones are empty."""
+    met = (y > at) != (ny > at)
+    xs = np.sort(np.where(met, x + (at - y) * (nx - x) / (ny - y), np.inf), axis=1)[:, :x.shape[1] // 2 * 2]
+    return tuple(np.where(np.isinf(xs[:, k::2]), 0.0, xs[:, k::2]) for k in (0, 1))
+
+
+def _shared(px: np.ndarray, py: np.ndarray, qx: np.ndarray, qy: np.ndarray) -> np.ndarray:
+    """(both, first, second) of pairs of outlines, one pair a row, all of the same two sizes."""
+    first, second = ((x, y, np.roll(x, -1, 1), np.roll(y, -1, 1)) for x, y in ((px, py), (qx, qy)))
+    s, t = [v[:, :, None] for v in first], [v[:, None, :] for v in second]
+    turn = lambda e, x, y: (e[2] - e[0]) * (y - e[1]) - (e[3] - e[1]) * (x - e[0])
+    u, v = turn(s, t[0], t[1]), turn(s, t[2], t[3])
+    cross = (u * v < 0) & (turn(t, s[0], s[1]) * turn(t, s[2], s[3]) < 0)
+    heights = np.where(cross, t[1] + (t[3] - t[1]) * u / (u - v), np.inf).reshape(len(px), -1)
+    cuts = np.sort(np.concatenate([py, qy, heights], axis=1), axis=1)
+    out = np.zeros((3, len(px)))
+    for k in range(cuts.shape[1] - 1):
+        rows = np.nonzero((cuts[:, k] < cuts[:, k + 1]) & (cuts[:, k + 1] < np.inf))[0]
+        if not len(rows):
+            continue
+        low, high = cuts[rows, k], cuts[rows, k + 1]
+        middle = ((low + high) / 2)[:, None]
+        (al, ar), (bl, br) = (_inside(*[v[rows] for v in e], middle) for e in (first, second))
+        common = np.minimum(ar[:, :, None], br[:, None, :]) - np.maximum(al[:, :, None], bl[:, None, :])
+        wide = (np.maximum(common, 0).sum(axis=(1, 2)), (ar - al).sum(axis=1), (br - bl).sum(axis=1))
+        out[:, rows] += np.stack(wide) * (high - low)
+    return out
+
+
+@F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in ("both", "first", "second")]))
+def shared_areas(p: pa.Array, q: pa.Array) -> pa.Array:
+    """(both, first, second): exact areas of two simple outlines, dented ones too, and of what they share.
+
+    The plane is cut at every height where an outline has a corner or the two
+    cross.  Between two cuts no edges cross, so both outlines are trapezoids,
+    whose areas, and those of their overlaps, are height times width half way.
+    Null if an outline or one of its numbers is missing.
+    """
+    with np.errstate(all="ignore"):
+        rings = [_rings(c) for c in (p, q)]
+        lost = np.zeros(len(p), bool)
+        for c, (x, y, own, _, _) in zip((p, q), rings):
+            lost |= ~c.is_valid().to_numpy(zero_copy_only=False) | (np.bincount(own, ~(np.isfinite(x) & np.isfinite(y)), len(p)) > 0)
+        sizes = np.stack([r[4] for r in rings], axis=1)
+        starts = np.cumsum(sizes, axis=0) - sizes
+        out = np.zeros((3, len(p)))
+        for m, n in np.unique(sizes[~lost], axis=0):
+            rows = np.nonzero(~lost & (sizes == (m, n)).all(axis=1))[0]
+            step = max(1, PAIRS // max(1, m * n))
+            for at in range(0, len(rows), step):
+                part = rows[at:at + step]
+                corners = [r[k][starts[part, i, None] + np.arange(size)] for i, (r, size) in enumerate(zip(rings, (m, n))) for k in (0, 1)]
+                out[:, part] = _shared(*corners)
+    return pa.StructArray.from_arrays([pa.array(v) for v in out], ["both", "first", "second"], mask=pa.array(lost))
+
+
 def rotate_polygon(p: Column, cx: Column, cy: Column, degrees: Column,
                    width: Column | None = None, height: Column | None = None) -> Column:
     """Rotate about (cx, cy); clip to the page when its size is given."""

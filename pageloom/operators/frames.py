@@ -16,14 +16,15 @@ DIGITS = 9
 def frame_overlap_join(frames: DataFrame, share: float = 0.12) -> DataFrame:
     """Frame pairs on a page whose overlap exceeds ``share`` of the smaller frame.
 
-    ``frames``: image_id, region_id, seq, polygon.  Bounding boxes meet in the
-    grid join first; only pairs whose boxes share enough reach the polygon
+    ``frames``: image_id, region_id, seq, polygon.  Bounding boxes meet
+    first; only pairs whose boxes share enough reach the polygon
     test, dealt evenly, as it is what costs most.
     """
     boxed = frames.withColumn("_b", F.explode(F.array(G.polygon_to_box(_c("polygon"))))).select(
         "image_id", "region_id", "seq", "_b.*", "polygon", G.polygon_area(_c("polygon")).alias("area"))
     smaller = F.greatest(F.lit(1.0), F.least("a_area", "b_area"))
-    pairs = grid.overlapping(boxed, boxed, condition=F.struct("a_seq", "a_region_id") < F.struct("b_seq", "b_region_id"))
+    rank = lambda k: F.struct(k["seq"].alias("seq"), k["region_id"].alias("id"))
+    pairs = grid.among(boxed, lambda a, b: rank(a) < rank(b))
     pairs = pairs.where(_c("inter") > smaller * (share - 1e-6)).select(
         "image_id", _c("a_region_id").alias("first_id"), _c("b_region_id").alias("second_id"), "a_polygon", "b_polygon")
     dealt = pairs.repartition(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")))

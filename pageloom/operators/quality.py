@@ -117,9 +117,9 @@ def region_issues(regions: DataFrame, pages: DataFrame, threshold: float = OCR_T
 def overlap_pairs(regions: DataFrame, share: float = 0.12) -> DataFrame:
     """Pairs on a page whose overlap exceeds ``share`` of the smaller box."""
     boxes = regions.select("image_id", "region_id", "reading_order", "x", "y", "w", "h")
-    rank = lambda p: F.struct(p + "reading_order", p + "region_id")
+    rank = lambda k: F.struct(k["reading_order"].alias("at"), k["region_id"].alias("id"))
     smaller = F.greatest(F.lit(1), F.least(F.col("a_w") * F.col("a_h"), F.col("b_w") * F.col("b_h")))
-    pairs = grid.overlapping(boxes, boxes, condition=rank("a_") < rank("b_"))
+    pairs = grid.among(boxes, lambda a, b: rank(a) < rank(b))
     return (pairs.withColumn("ratio", F.col("inter") / smaller).where(F.col("ratio") > share)
             .select("image_id", F.col("a_region_id").alias("first_id"), F.col("b_region_id").alias("second_id"),
                     "inter", "ratio"))

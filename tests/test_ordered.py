@@ -307,3 +307,29 @@ def test_cells_are_read_by_their_cuts():
             for axis in (0, 1):
                 marks = sorted((boxes[i][axis], boxes[i][axis] + boxes[i][axis + 2]) for i in c)
                 assert all(b - max(e for _, e in marks[:k]) < 2 for k, (b, _) in enumerate(marks) if k)
+
+
+def test_shared_areas_of_odd_outlines(spark):
+    """Missing corners and numbers give null, pairs of different sizes are measured in one batch."""
+    from pageloom.functions import geometry as G
+    square, none = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], float("nan")
+    dented = [(0.0, 0.0), (4.0, 0.0), (2.0, 2.0), (4.0, 4.0), (0.0, 4.0)]
+    rows = [(square, dented, 0), (dented, dented, 1), (square, None, 2), (square, [(0.0, none), (1.0, 0.0), (1.0, 1.0)], 3), (square, [], 4)]
+    ring = "array<struct<x:double,y:double>>"
+    made = spark.createDataFrame(rows, f"p {ring}, q {ring}, i int").coalesce(1)
+    got = {r.i: r.s and tuple(r.s) for r in made.select("i", G.shared_areas(F.col("p"), F.col("q")).alias("s")).collect()}
+    assert got == {0: (12.0, 16.0, 12.0), 1: (12.0, 12.0, 12.0), 2: None, 3: None, 4: (0.0, 16.0, 0.0)}
+
+
+def test_boxes_among_themselves_on_few_and_full_pages(spark):
+    from pageloom.core import grid
+    draw = random.Random(7)
+    sizes = {1: 1, 2: 5, 3: grid.FEW, 4: grid.FEW + 1, 5: 150}
+    rows = [(page, i, draw.randrange(900), draw.randrange(900), draw.randrange(300), draw.randrange(300)) for page, n in sizes.items() for i in range(n)]
+    boxes = spark.createDataFrame(rows, "image_id long, region_id long, x long, y long, w long, h long")
+    met = grid.among(boxes, lambda a, b: a["region_id"] < b["region_id"])
+    got = sorted((r.image_id, r.a_region_id, r.b_region_id, r.inter) for r in met.collect())
+    wide = lambda p, q, r, s: min(p + r, q + s) - max(p, q)
+    assert got == sorted((a[0], a[1], b[1], wide(a[2], b[2], a[4], b[4]) * wide(a[3], b[3], a[5], b[5])) for a in rows for b in rows
+                         if a[0] == b[0] and a[1] < b[1] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5])
+    assert "explode" in met._jdf.queryExecution().toString() and got
