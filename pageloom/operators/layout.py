@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.core import grid, ranking
+from pageloom.core import grid
 
 _c = F.col
 BOX = ["x", "y", "w", "h"]
@@ -50,35 +50,34 @@ def smallest_container(items: DataFrame, containers: DataFrame, share: float = 0
 
 
 def layout_tree(predictions: DataFrame) -> DataFrame:
-    """Parent, panel and pre-order position of every prediction on its page."""
-    bubbles, panels = predictions.where("label = 'bubble'"), predictions.where("label = 'panel'")
-    texts = predictions.where("label = 'text'")
-    key = F.struct("y", (-_c("x")).alias("left"), "label", (-_c("confidence")).alias("weak"), "region_id")
-    keys = lambda df, name: df.select("image_id", _c("region_id").alias(name), key.alias(f"{name}_key"))
-
-    bubble_home = smallest_container(bubbles, panels).withColumnRenamed("container_id", "panel_id")
-    in_bubble = smallest_container(texts, bubbles).withColumnRenamed("container_id", "bubble_id")
-    in_panel = smallest_container(texts, panels).select("image_id", "region_id", _c("container_id").alias("own_panel"))
-    text_home = (in_bubble.join(in_panel, ["image_id", "region_id"])
-                 .join(bubble_home.select("image_id", _c("region_id").alias("bubble_id"), _c("panel_id").alias("via")),
-                       ["image_id", "bubble_id"], "left")
-                 .withColumn("panel_id", F.coalesce("via", "own_panel")))
-    rest = predictions.where("label not in ('text', 'bubble')")
-    base = [*predictions.columns]
-    none = F.lit(None).cast("bigint")
-    nodes = (text_home.select(*base, "bubble_id", _c("panel_id"), F.coalesce("bubble_id", "panel_id").alias("parent_id"),
-                              F.when(_c("bubble_id").isNotNull(), _c("via")).otherwise(_c("own_panel")).alias("top_id"))
-             .unionByName(bubble_home.select(*base, none.alias("bubble_id"), "panel_id", _c("panel_id").alias("parent_id"),
-                                             _c("panel_id").alias("top_id")))
-             .unionByName(rest.select(*base, none.alias("bubble_id"), none.alias("panel_id"), none.alias("parent_id"),
-                                      none.alias("top_id"))))
-    path = F.array_compact(F.array("top_id_key", "bubble_id_key", key))
-    placed = (nodes.join(keys(panels, "top_id"), ["image_id", "top_id"], "left")
-              .join(keys(bubbles, "bubble_id"), ["image_id", "bubble_id"], "left")
-              .withColumn("_path", path))
-    out = ranking.ranked(placed, ["image_id"], [_c("_path")], F.floor(F.get("_path", F.lit(0))["y"] / 64), name="preorder")
-    return out.select("image_id", "region_id", "label", "parent_id",
-                      F.when(_c("label") == "text", _c("panel_id")).alias("text_panel_id"), "preorder")
+    """Parent, panel and pre-order position of every prediction on its page.
+
+    Predictions meet among themselves once.  Best containers come with their
+    order keys, and a text reads its bubble's panel in a window over the bubble.
+    """
+    def key(b: dict) -> Column:
+        return F.struct(b["y"].alias("y"), (-b["x"]).alias("left"), b["label"].alias("label"), (-b["confidence"]).alias("weak"),
+                        b["region_id"].alias("region_id"))
+    columns = ["region_id", *BOX, "label", "confidence"]
+    nodes = predictions.select("image_id", *columns)
+    pairs = grid.among(nodes, lambda a, b: (a["label"].isin("text", "bubble") & (b["label"] == "panel")) | ((a["label"] == "text") & (b["label"] == "bubble")))
+    held = pairs.where((_area("a_") > 0) & (_c("inter") / _area("a_") >= 0.5))
+    size = F.struct(_area("b_").alias("area"), _c("b_y").alias("y"), (-_c("b_x")).alias("x"), _c("b_region_id").alias("id"))
+    rows = nodes.select("image_id", "region_id", "label", key({c: _c(c) for c in columns}).alias("key")).unionByName(held.select(
+        "image_id", _c("a_region_id").alias("region_id"), _c("a_label").alias("label"), _c("b_label").alias("kind"), size.alias("size"),
+        key({c: _c(f"b_{c}") for c in columns}).alias("box")), allowMissingColumns=True)
+    home = lambda kind: F.min_by("box", F.when(_c("kind") == kind, _c("size"))).alias(kind)
+    homed = (rows.repartition("image_id").groupBy("image_id", "region_id", "label").agg(F.collect_list("key").alias("keys"), home("bubble"), home("panel"))
+             .withColumn("key", F.explode("keys")).drop("keys"))
+    spoken = _c("bubble").isNotNull()
+    around = Window.partitionBy("image_id", spoken | (_c("label") == "bubble"), F.coalesce("bubble.region_id", "region_id"))
+    via = F.max(F.when(_c("label") == "bubble", _c("panel"))).over(around)
+    topped = homed.withColumn("top", F.when(spoken, via).otherwise(_c("panel")))
+    path = F.array_compact(F.array("top", "bubble", "key"))
+    placed = topped.withColumn("preorder", F.row_number().over(Window.partitionBy("image_id").orderBy(path)).cast("bigint"))
+    panel_id = F.coalesce("top.region_id", "panel.region_id")
+    return placed.select("image_id", "region_id", "label", F.coalesce("bubble.region_id", panel_id).alias("parent_id"),
+                         F.when(_c("label") == "text", panel_id).alias("text_panel_id"), "preorder")
 
 
 def touches_balloon(texts: DataFrame, bubbles: DataFrame, share: float = 0.1) -> DataFrame:

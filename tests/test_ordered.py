@@ -333,3 +333,23 @@ def test_boxes_among_themselves_on_few_and_full_pages(spark):
     assert got == sorted((a[0], a[1], b[1], wide(a[2], b[2], a[4], b[4]) * wide(a[3], b[3], a[5], b[5])) for a in rows for b in rows
                          if a[0] == b[0] and a[1] < b[1] and a[2] < b[2] + b[4] and b[2] < a[2] + a[4] and a[3] < b[3] + b[5] and b[3] < a[3] + a[5])
     assert "explode" in met._jdf.queryExecution().toString() and got
+
+
+def test_layout_tree_of_few_and_full_pages(spark, monkeypatch):
+    """Pages packed to a row and pages in cells give one tree, from few shuffles."""
+    from pageloom.core import grid
+    from pageloom.operators.layout import layout_tree
+    draw = random.Random(11)
+    rows = [(p, i, draw.randrange(600), draw.randrange(600), draw.randrange(20, 60 if i % 3 else 400), draw.randrange(20, 60 if i % 3 else 400),
+             ("text", "bubble", "panel", "text", "onomatopoeia")[draw.randrange(5)], 0.5) for p in range(3) for i in range(40)]
+    made = spark.createDataFrame(rows, "image_id long, region_id long, x long, y long, w long, h long, label string, confidence double")
+
+    def tree():
+        found = layout_tree(made)
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 8
+        return sorted(tuple(r) for r in found.collect())
+    packed = tree()
+    monkeypatch.setattr(grid, "FEW", 1)
+    assert packed == tree() and any(r[3] is not None for r in packed)
+    for page in range(3):
+        assert sorted(r[5] for r in packed if r[0] == page) == list(range(1, 41))
