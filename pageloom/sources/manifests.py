@@ -38,7 +38,8 @@ def export_manifest(projects: DataFrame, pages: DataFrame, regions: DataFrame) -
 def import_manifest(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pages, regions, rejected) from manifest documents of schema version 1 or 2."""
     from pageloom.functions.text import bounded_text
-    parsed = documents.withColumn("d", F.from_json("manifest", PAGE_JSON))
+    # exploded, so that the filters below cannot parse (and, of a computed manifest, build) each document again
+    parsed = documents.withColumn("d", F.explode(F.array(F.from_json("manifest", PAGE_JSON))))
     bad = ~F.coalesce(_c("d.schema_version").isin(1, 2), F.lit(False))
     ok = parsed.where(~bad)
     pages = ok.select(
