@@ -231,6 +231,9 @@ def links(distinct_fps: DataFrame, dense: int = 1024) -> DataFrame:
     one flip of a word are within two of each other, so a star around the
     smallest of them, joined by all members within two flips, holds only true
     links and connects all.  Rows stay in proportion to the members.
+
+    A fingerprint becomes some sixty rows here, which Spark sizes as one: the
+    grown tables are never broadcast.
     """
     keyed = distinct_fps.select("fp").mapInPandas(_file, "key long, fp long, side byte")
     full = (keyed.where("side <> 1").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -239,11 +242,11 @@ def links(distinct_fps: DataFrame, dense: int = 1024) -> DataFrame:
     filed = sparse.where("side <> 1").select("key", F.col("fp").alias("a"))
     asked = sparse.where("side <> 0").select("key", F.col("fp").alias("b"))
     flips = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    pairs = filed.join(asked, "key").where((F.col("a") != F.col("b")) & (flips <= MAX_FLIPS)).select("a", "b")
+    pairs = filed.hint("merge").join(asked, "key").where((F.col("a") != F.col("b")) & (flips <= MAX_FLIPS)).select("a", "b")
     balls = (keyed.join(full, "key", "left_semi").select("key", "fp").distinct()
              .mapInPandas(_centres, "key long, fp long, centre long, near boolean"))
     hubs = balls.where("near").groupBy("key", "centre").agg(F.min("fp").alias("b"))
-    stars = balls.join(hubs, ["key", "centre"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
+    stars = balls.hint("merge").join(hubs, ["key", "centre"]).where("fp <> b").select(F.col("fp").alias("a"), "b")
     return pairs.unionByName(stars)
 
 

@@ -89,3 +89,11 @@ def test_repeats_nulls_and_empty_table(spark):
     assert got == sorted([(1, 1), (1, 1), (None, 1), (None, None), (2, 2)], key=str)
     assert simhash.keep_one(docs).count() == 3
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def test_grown_tables_are_not_broadcast(spark, tmp_path):
+    spark.range(500).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    edges = simhash.links(spark.read.parquet(str(tmp_path / "fps")))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    inner = [line.split("Join")[0].split()[-1] for line in plan.splitlines() if "Join" in line and ", Inner" in line]
+    assert inner == ["SortMerge", "SortMerge"]
