@@ -353,3 +353,73 @@ def test_layout_tree_of_few_and_full_pages(spark, monkeypatch):
     assert packed == tree() and any(r[3] is not None for r in packed)
     for page in range(3):
         assert sorted(r[5] for r in packed if r[0] == page) == list(range(1, 41))
+
+
+def slow_sharpness(points, vertical, angle):
+    bins, turn = {}, math.radians(angle)
+    for x, y in points:
+        t = x * math.cos(turn) + y * math.sin(turn) if vertical else y * math.cos(turn) - x * math.sin(turn)
+        low = math.floor(t)
+        bins[low] = bins.get(low, 0) + 1 - (t - low)
+        bins[low + 1] = bins.get(low + 1, 0) + t - low
+    return sum(v * v for v in bins.values()) / len(points)
+
+
+def slow_angle(points):
+    """(points, vertical, candidate, score, angle), None for fewer than four points."""
+    if len(points) < 4:
+        return None
+    coarse, tops = [a * 3.0 for a in range(-15, 16)], {}
+    rank = lambda s: (s[1], -abs(s[0]), -s[0])
+    for v in (False, True):
+        scores = {a: round(slow_sharpness(points, v, a), 9) for a in coarse}
+        for p in sorted(coarse, key=lambda a: (scores[a], a))[-3:]:
+            for a in [p + k / 2 for k in range(-6, 7)]:
+                if abs(a) <= 45 and a not in scores:
+                    scores[a] = round(slow_sharpness(points, v, a), 9)
+        tops[v] = scores, max(scores.items(), key=rank)
+    (_, h), (_, v) = tops[False][1], tops[True][1]
+    way = v > h
+    scores, (angle, score) = tops[way]
+    good = (abs(angle) >= 3 and len(points) >= 24 and score >= 1.1 * scores[0.0] and (abs(v - h) > 0.05 * max(v, h) or abs(angle) < 43)
+            and not any(s >= 0.98 * score and abs(a - angle) >= 5 for a, s in scores.items()))
+    if good:
+        turn = math.radians(angle)
+        along = [y * math.cos(turn) - x * math.sin(turn) if way else x * math.cos(turn) + y * math.sin(turn) for x, y in points]
+        low, long, favour = min(along), max(along) + 1 - min(along), 0
+        for section in range(3):
+            part = [p for p, u in zip(points, along) if min(math.floor((u - low) * 3 / long), 2) == section]
+            if len(part) >= 12:
+                found = {a: round(slow_sharpness(part, way, a), 9) for a in {*coarse, angle, angle - 1, angle + 1}}
+                near = max(found.items(), key=rank)
+                gain = found[angle] / found[0.0]
+                good = good and not (gain < 0.9 and len(part) >= 0.2 * len(points))
+                favour += gain >= 1.03 and (abs(near[0] - angle) <= 3 or found[angle] >= 0.97 * near[1])
+        good = good and favour >= 2
+    return len(points), way, angle, round(score, 6), angle if good else 0.0
+
+
+def test_text_angles_against_plain_code_in_one_pass(spark, monkeypatch):
+    rng, clouds = random.Random(11), {}
+    for k in range(60):
+        turn, upright, n = math.radians(rng.choice([0, 4, 9.5, -17, 31, 44])), rng.random() < 0.4, rng.choice([1, 3, 4, 13, 30, 90, 260])
+        clouds[k] = []
+        for _ in range(n):
+            u, v = rng.uniform(0, 120), rng.randrange(5) * 13 + rng.uniform(0, rng.choice([2, 9]))
+            u, v = (v, u) if upright else (u, v)
+            clouds[k].append((round(u * math.cos(turn) - v * math.sin(turn), 1), round(u * math.sin(turn) + v * math.cos(turn), 1)))
+        clouds[k] += clouds[k][:n // 5]
+    points = spark.createDataFrame([(k, *p) for k, ps in clouds.items() for p in ps], "k long, px double, py double").repartition(3)
+    for votes in (1 << 17, 500):
+        monkeypatch.setattr("pageloom.operators.angles.VOTES", votes)
+        found = angle_search(points, "k")
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+        got = {r.k: (r.points, r.vertical, r.candidate, r.score, r.angle) for r in found.collect()}
+        want = {k: slow_angle(ps) for k, ps in clouds.items()}
+        want = {k: w for k, w in want.items() if w}
+        assert got.keys() == want.keys() and all(g[3] == pytest.approx(want[k][3], abs=2e-6) for k, g in got.items())
+        assert {k: g[:3] + g[4:] for k, g in got.items()} == {k: w[:3] + w[4:] for k, w in want.items()}
+    assert sum(g[4] != 0 for g in got.values()) >= 5
+    odd = points.limit(0).unionByName(spark.createDataFrame([(1, None, 1.0)] * 5 + [(2, 1.0, 1.0)] * 3 + [(2, 1.0, None)], points.schema))
+    assert [(r.k, r.points) for r in angle_search(odd, "k").collect()] == [(2, 4)]
+    assert angle_search(points.where("false"), "k").count() == 0
