@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from pageloom.core.dealing import dealt
 from pageloom.operators import masks as M
 from pageloom.operators import ordering as O
 from pageloom.plans.joins import RUNS, _runs
@@ -24,7 +25,8 @@ def _w01(t):
 
 @query("w02_panel_reading_order")
 def _w02(t):
-    return O.panel_reading_order(_seq(t.lettering), _seq(t.panels))
+    place = lambda df: dealt(_seq(df.select("image_id", "region_id", "x", "y", "w", "h")), "image_id")
+    return O.panel_reading_order(place(t.lettering), place(t.panels))
 
 
 @query("w03_widest_gutter", """

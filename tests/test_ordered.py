@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -467,3 +468,44 @@ def test_gutters_against_plain_code_in_one_pass(spark):
     halves = O.split_gutters(rows.withColumn("ink", F.col("ink") / 2), typical.withColumn("height", F.col("height") / 2))
     assert sorted(map(tuple, halves.where("mask_id < 0").collect())) == [] and halves.schema["ink"].dataType.typeName() == "double"
     assert O.split_gutters(rows.where("false"), typical).count() == 0
+
+
+def slow_panel_order(texts, panels):
+    """Rows (page, id, seq, x, y, w, h) of one page in reading order."""
+    def home(t):
+        x, y = t[3] + t[5] / 2, t[4] + t[6] / 2
+        held = [p for p in panels if p[3] <= x <= p[3] + p[5] and p[4] <= y <= p[4] + p[6]]
+        return held[0][1] if len(held) == 1 else None
+    homes = {t[1]: home(t) for t in texts}
+    used = {h for h in homes.values() if h is not None}
+    if len(used) < 2 or sum(h is not None for h in homes.values()) < 0.6 * len(texts):
+        return slow_reading_order(texts)
+    frames = sorted((p for p in panels if p[1] in used), key=lambda p: p[2]) + sorted((t for t in texts if homes[t[1]] is None), key=lambda t: t[2])
+    out = []
+    for cell in O._cells(np.array([f[3:] for f in frames], float)):
+        for f in slow_reading_order([frames[i] for i in cell]):
+            out += slow_reading_order([t for t in texts if homes[t[1]] == f]) if f in used else [f]
+    return out
+
+
+def test_panel_order_against_plain_code_in_one_pass(spark, tmp_path):
+    rng, texts, panels = random.Random(8), [], []
+    for page in range(80):
+        for i in range(rng.randint(0, 5)):
+            panels.append((page, 1000 + i, rng.randrange(10**6), rng.randrange(3) * 300, rng.randrange(4) * 260, rng.choice([280, 290, 590]), rng.choice([250, 300])))
+        for i in range(rng.randint(1, 16)):
+            texts.append((page, i, rng.randrange(10**6), rng.randrange(800), rng.randrange(1000), rng.randint(20, 120), rng.randint(20, 120)))
+    frame(spark, texts).write.parquet(str(tmp_path / "texts"))
+    frame(spark, panels).write.parquet(str(tmp_path / "panels"))
+    dealt = [spark.read.parquet(str(tmp_path / n)).repartition(7, "image_id") for n in ("texts", "panels")]
+    found = O.panel_reading_order(*dealt)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Broadcast" not in plan
+    got = {}
+    for r in sorted(found.collect(), key=lambda r: (r.image_id, r.position)):
+        got.setdefault(r.image_id, []).append(r.region_id)
+        assert r.position == len(got[r.image_id])
+    of = lambda rows, page: [r for r in rows if r[0] == page]
+    want = {page: slow_panel_order(of(texts, page), of(panels, page)) for page in range(80)}
+    assert got == want and sum(w != slow_reading_order(of(texts, p)) for p, w in want.items()) >= 5
+    assert O.panel_reading_order(dealt[0].where("false"), dealt[1]).count() == 0
